@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, mpeg_audio, secrets, token_counts, toxicity, warc
+from . import bpe, chat, decontam, mpeg_audio, secrets, substring, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_chat_format": chat.op6_chat_format,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_decontamination": decontam.op9_decontamination,
 }
 SQL = {"op4_warc": warc.OP4_SQL, "op6_chat_format": chat.OP6_SQL, "op9_decontamination": decontam.OP9_SQL}
