@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, mpeg_audio, secrets, substring, token_counts, toxicity, warc
+from . import bpe, chat, decontam, jaccard, mpeg_audio, secrets, substring, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_decontamination": decontam.op9_decontamination,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 SQL = {"op4_warc": warc.OP4_SQL, "op6_chat_format": chat.OP6_SQL, "op9_decontamination": decontam.OP9_SQL}
