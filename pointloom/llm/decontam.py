@@ -81,7 +81,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs``: key, n_words, n_hit, n_items, items (sorted strings), contaminated."""
-    found = find_windows(docs, benchmark, window, key, text)
+    found = materialize(find_windows(docs, benchmark, window, key, text))
     spots = found.select("id", "h", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("len") - 1)).alias("at")).distinct().groupBy("id", "h").agg(F.count("*").alias("n_hit"))
     items = found.select("id", "h", F.explode("items").alias("item")).distinct().groupBy("id", "h").agg(F.sort_array(F.collect_list("item")).alias("items"))
     hits = spots.withColumnsRenamed({"id": "sid", "h": "sh"}).join(items, F.col("sid").eqNullSafe(F.col("id")) & (F.col("sh") == F.col("h"))).select("sid", "sh", "n_hit", "items")
