@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +36,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a scratch table and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+#: Bytes of a file that ``materialize`` aims at: small tables become few files, whatever the number of tasks that made them.
+FILE_BYTES = 32 << 20
+
+
+def store(df: DataFrame, path: str | None = None, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as it is partitioned to a scratch table and read it back: cuts the lineage, survives lost executors."""
+    path = path or scratch_dir(df.sparkSession)
+    df.write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, path: str | None = None, sort: tuple[str, ...] = ()) -> DataFrame:
+    """``store``, in files of about ``FILE_BYTES``: the rows are made at full width and held on executors' disks while they are counted and written."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.count()
+        size = int(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        few = held.coalesce(max(1, -(-size // FILE_BYTES)))
+        return store(few.sortWithinPartitions(*sort) if sort else few, path)
+    finally:
+        held.unpersist()
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns of any name cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, materialize, only, table, texts_of
+from .common import map_arrow, only, store, table, texts_of
 
 # Fixed values of the format (ISO/IEC 11172-3, layer III): kbit/s by bitrate index, Hz by rate index.
 BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -257,5 +257,5 @@ def decode_column(df: DataFrame, key: str = "doc_id", media: str = "media", keep
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(encode_texts(table(spark, sf_dir, "documents")))
+    stored = store(encode_texts(table(spark, sf_dir, "documents")))
     return decode_column(stored, keep=("n_bytes",))

@@ -120,7 +120,7 @@ class WindowIndex:
     def _write_run(self, run: DataFrame) -> str:
         self._made += 1
         path = f"{self.folder}/run-{self._made}"
-        run.repartition("mark").sortWithinPartitions("mark", "seg", "id").write.option("compression", "zstd").parquet(path)
+        materialize(run.repartition("mark"), path, sort=("mark", "seg", "id"))
         return path
 
     def _entries(self) -> DataFrame:
