@@ -2,16 +2,16 @@
 
 A window is ``WINDOW`` consecutive words. Windows are bundled in segments:
 maximal runs of windows with the same least hash of ``GRAM`` words inside (the
-mark). Equal windows have equal marks, so only windows under a mark that occurs
-with different segments can be equal without their whole segments being so.
+mark). Equal windows have equal marks, so a window can repeat only under a mark
+that several documents have, and only under a mark with several different segments
+can windows be equal without their whole segments being so.
 
-The index holds sorted immutable runs of segments (mark, segment hash, first
-document). A batch of documents is fingerprinted, its segments are merge-joined
-with the runs, equal segments are decided at once, and the segments
-of marks with several forms are opened: their windows are read again from the
-texts and compared under two independent 64-bit hashes and the mark, which
-verifies them. Then the batch's run joins the index, and runs are compacted to
-one when there are ``FANOUT``.
+The index holds sorted immutable runs of segments. A batch of documents is
+fingerprinted and written as a run; the runs are merge-joined with it by mark;
+equal segments are decided at once, and the first of each of the different segments
+of a mark are opened: their windows are read again from the texts and compared
+under the mark and a second, independent 64-bit hash, which verifies them.
+When there are ``FANOUT`` runs they are compacted to one.
 
 Edges: a null text has no words; a null id comes before all others; rows of one
 id (repeated or different) do not repeat each other; documents shorter than a
@@ -26,24 +26,50 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
 from .common import map_arrow, materialize, scratch_dir, table, texts_of
 
 WINDOW, GRAM = 50, 8
-FANOUT = 2
-#: Lists by document go to every executor up to so many rows (about 40 bytes each); beyond it they are joined by shuffle.
+FANOUT = 4
+#: Lists of ranges by document go to every executor up to so many ranges (about 40 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 FIRST_ID = -(2**63)
 
 SEGMENTS = "mark long, seg long, id long, h long, pos int, n int"
-WINDOWS = "mark long, w long, v long, id long, h long, pos int"
+WINDOWS = "mark long, w long, id long, h long, pos int"
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST_ID)).alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").cast("string").alias("text"))
+def ids_differ(docs: DataFrame, key: str = "doc_id") -> bool:
+    return docs.groupBy(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST_ID)).alias("id")).count().where("count > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, key: str, text: str, distinct: bool = False) -> DataFrame:
+    """id, h (tells rows of one id apart; 0 where all ids are known to differ) and text."""
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST_ID)).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    h = F.lit(0).cast("long") if distinct else F.xxhash64("text")
+    return rows.select("id", h.alias("h"), "text")
+
+
+def merged(spans: str) -> Column:
+    """The ranges of an array of struct b, e, joined where they meet, in order."""
+    return F.expr(f"""aggregate(array_sort({spans}), named_struct('done', cast(array() as array<struct<b:int,e:int>>), 'b', -1, 'e', -1),
+      (a, r) -> if(r.b <= a.e, named_struct('done', a.done, 'b', a.b, 'e', greatest(a.e, r.e)),
+        named_struct('done', if(a.e < 0, a.done, concat(a.done, array(named_struct('b', a.b, 'e', a.e)))), 'b', r.b, 'e', r.e)),
+      a -> concat(a.done, array(named_struct('b', a.b, 'e', a.e))))""")
+
+
+def ranges_of(rows: DataFrame, name: str) -> DataFrame:
+    """id, h and the joined ranges of its rows (b, e): bounded by a document's length."""
+    return materialize(rows.groupBy("id", "h").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), F.col("e").cast("int").alias("e"))).alias("all")).select("id", "h", merged("all").alias(name)))
+
+
+def marks_of(hashes: np.ndarray) -> np.ndarray:
+    """The mark of the window that begins at each word."""
+    return wordhash.sliding_min(wordhash.windows(hashes, GRAM), WINDOW - GRAM + 1)
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -60,7 +86,7 @@ def segments(docs: DataFrame) -> DataFrame:
                 starts = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= s.at[row[: n - WINDOW + 1] + 1])
                 if not len(starts):
                     continue
-                mark = wordhash.sliding_min(wordhash.windows(s.hashes, GRAM), WINDOW - GRAM + 1)[starts]
+                mark = marks_of(s.hashes)[starts]
                 new = np.ones(len(starts), bool)
                 new[1:] = (mark[1:] != mark[:-1]) | (row[starts[1:]] != row[starts[:-1]])
                 first = np.flatnonzero(new)
@@ -75,31 +101,28 @@ def segments(docs: DataFrame) -> DataFrame:
 
 
 def open_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The windows of the wanted segments (mark, id, h, pos, n), read from the texts."""
-    lists = materialize(wanted.groupBy("id", "h").agg(F.collect_list(F.struct("mark", "pos", "n")).alias("open")))
+    """The windows that begin in the wanted ranges (id, h, b, e), read from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs, wanted_here = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            flat = wanted_here.flatten()
-            offsets = wanted_here.offsets.to_numpy()
-            marks, pos, count = [flat.field(i).to_numpy() for i in range(3)]
-            base = offsets[0]
+            ids, hs, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+            begin, end = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+            offsets = offsets - offsets[0]
             for s in wordhash.words_of(texts_of(batch.column(2))):
-                w = wordhash.windows(s.hashes, WINDOW)
-                v = wordhash.windows(wordhash.mix(s.hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
-                a, b = offsets[s.first] - base, offsets[s.first + s.rows] - base
+                at = offsets[s.first : s.first + s.rows + 1]
+                a, b = at[0], at[-1]
                 if a == b:
                     continue
-                row = np.repeat(np.arange(s.rows), np.diff(offsets[s.first : s.first + s.rows + 1]))
-                k = count[a:b].astype(np.int64)
-                inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                place = np.repeat(pos[a:b], k) + inner
+                row = np.repeat(np.arange(s.rows), np.diff(at))
+                k = end[a:b] - begin[a:b]
+                place = np.repeat(begin[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 rows = np.repeat(row, k)
-                at = s.at[rows] + place
-                columns = [np.repeat(marks[a:b], k), w[at].view(np.int64), v[at].view(np.int64), ids[s.first + rows], hs[s.first + rows], place.astype(np.int32)]
+                where = s.at[rows] + place
+                columns = [marks_of(s.hashes)[where].view(np.int64), wordhash.windows(s.hashes, WINDOW)[where].view(np.int64), ids[s.first + rows], hs[s.first + rows], place.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
+    lists = ranges_of(wanted, "open")
     return map_arrow(docs.join(_small(lists), ["id", "h"]).select("id", "h", "text", "open"), run, WINDOWS)
 
 
@@ -111,8 +134,9 @@ def _small(lists: DataFrame) -> DataFrame:
 class WindowIndex:
     """Sorted runs of segments in a folder, and the documents they came from."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder or scratch_dir(spark)
+    def __init__(self, spark: SparkSession, folder: str | None = None, distinct: bool = False):
+        """``distinct``: all ids of all batches are known to differ."""
+        self.spark, self.folder, self.distinct = spark, folder or scratch_dir(spark), distinct
         self.runs: list[str] = []
         self.history: DataFrame | None = None
         self._made = 0
@@ -120,62 +144,53 @@ class WindowIndex:
     def _write_run(self, run: DataFrame) -> str:
         self._made += 1
         path = f"{self.folder}/run-{self._made}"
-        materialize(run.repartition("mark"), path, sort=("mark", "seg", "id"))
+        materialize(run, path, sort=("mark", "seg", "id"))
         return path
 
-    def _entries(self) -> DataFrame:
-        return self.spark.read.schema(SEGMENTS).parquet(*self.runs)
-
-    @staticmethod
-    def _first(entries: DataFrame) -> DataFrame:
-        """One entry of each segment: that of the smallest document."""
-        first = entries.groupBy("mark", "seg").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"))
-        return first.select("mark", "seg", F.col("f.id").alias("id"), F.col("f.h").alias("h"), F.col("f.pos").alias("pos"), F.col("f.n").alias("n"))
+    def _entries(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(SEGMENTS).parquet(*paths)
 
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Fingerprint a batch, whose ids are above all those before, find its repeats, and index it.
 
         Returns id, h and removed (array of struct b, e: word ranges) of the documents that lose words.
         """
-        batch = keyed(docs, key, text)
-        own = materialize(segments(batch))
-        run = self._write_run(self._first(own))
-        past = self.runs
-        new = self.spark.read.schema(SEGMENTS).parquet(run)
-        known = new if not past else self._first(self._entries().join(new.select("mark").distinct(), "mark", "left_semi").unionByName(new))
-        forms = known.groupBy("mark").agg((F.min("seg") != F.max("seg")).alias("several"))
-        known = materialize(known.join(forms, "mark").select("mark", "seg", "id", "h", "pos", "n", "several"))
-        # segments that occur once under a mark of one form repeat nothing
-        met = own.alias("o").join(known.alias("k").select("mark", "seg", F.col("id").alias("first"), "several"), ["mark", "seg"])
-        met = materialize(met.where("several or id > first").select("mark", "id", "h", "pos", "n", (F.col("id") > F.col("first")).alias("repeat")))
-        wanted = met.where("not repeat").select("mark", "id", "h", "pos", "n")
-        texts = batch
-        if self.history is not None:
-            least = new.select("id", "h").distinct()
-            older = known.where("several").join(least, ["id", "h"], "left_anti").select("mark", "id", "h", "pos", "n")
-            wanted, texts = wanted.unionByName(older), self.history.unionByName(batch)
-        opened = materialize(open_windows(texts, wanted))
-        firsts = opened.groupBy("mark", "w", "v").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-        firsts = materialize(firsts.select("mark", "w", "v", "first"))
+        batch = keyed(docs, key, text, self.distinct)
+        run = self._write_run(segments(batch))
+        entries = self._entries(run).withColumn("new", F.lit(True))
+        if self.runs:
+            entries = entries.unionByName(self._entries(*self.runs).withColumn("new", F.lit(False)))
+        marks = entries.groupBy("mark").agg((F.min("seg") != F.max("seg")).alias("several"), F.min("id").alias("i0"), F.max("id").alias("i1"), F.max("new").alias("touched"))
+        shared = entries.join(marks.where("touched and i0 < i1").select("mark", "several"), "mark").persist(StorageLevel.DISK_ONLY)
+        firsts = materialize(shared.groupBy("mark", "seg").agg(F.min("id").alias("first"), F.count("*").alias("k")))
+        decided = shared.join(firsts, ["mark", "seg"]).where("several or k > 1").select("id", "h", "pos", "n", "new", "several", (F.col("id") > F.col("first")).alias("repeat"))
+        decided = materialize(decided)
+        shared.unpersist()
+        texts = batch if self.history is None else self.history.unionByName(batch)
+        opened = open_windows(texts, decided.where("several and not repeat").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n")).alias("e")))
+        opened = opened.persist(StorageLevel.DISK_ONLY)
         low = batch.agg(F.min("id")).first()[0]
-        repeats = opened.where(F.col("id") >= F.lit(low)).join(firsts, ["mark", "w", "v"]).where("id > first").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + WINDOW).alias("e"))
-        repeats = repeats.unionByName(met.where("repeat").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("e")))
-        removed = materialize(repeats.groupBy("id", "h").agg(F.collect_set(F.struct("b", "e")).alias("removed")))
-        self.runs = [*past, run]
-        self.history = batch if self.history is None else self.history.unionByName(batch)
+        least = opened.groupBy("mark", "w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where((F.col("first") < F.col("last")) & (F.col("last") >= F.lit(low)))
+        least = materialize(least.select("mark", "w", "first"))
+        repeats = opened.where(F.col("id") >= F.lit(low)).join(least, ["mark", "w"]).where("id > first").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + WINDOW).alias("e"))
+        whole = decided.where("new and repeat").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("e"))
+        removed = ranges_of(repeats.unionByName(whole), "removed")
+        opened.unpersist()
+        self.runs.append(run)
+        self.history = texts
         if len(self.runs) >= FANOUT:
             self.compact()
         return removed
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        self.runs = [self._write_run(self._first(self._entries()))]
+        """Merge all runs into one, which keeps the smallest document of each segment."""
+        best = self._entries(*self.runs).groupBy("mark", "seg").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"))
+        self.runs = [self._write_run(best.select("mark", "seg", F.col("f.id").alias("id"), F.col("f.h").alias("h"), F.col("f.pos").alias("pos"), F.col("f.n").alias("n")))]
 
 
-def remove_repeats(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True, distinct: bool = False) -> DataFrame:
     """A row per row of ``docs``: key, n_words, n_removed, kept_sha256, and kept (the words that stay, joined by spaces)."""
-    whole = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST_ID)).alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = whole.join(_small(removed), ["id", "h"], "left").select("key", "text", "removed")
+    rows = keyed(docs, key, text, distinct).join(_small(removed), ["id", "h"], "left").select(F.when(F.col("id") != FIRST_ID, F.col("id")).cast(docs.schema[key].dataType).alias("key"), "text", "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,14 +226,15 @@ def deduplicate(docs: DataFrame, batches: int = 2, key: str = "doc_id", text: st
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx(F.col(f"`{key}`").cast("long"), [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     edges = sorted(set(cuts or []))
-    index, found = WindowIndex(spark), None
+    distinct = ids_differ(docs, key)
+    index, found = WindowIndex(spark, distinct=distinct), None
     column = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST_ID))
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = docs if low is None else docs.where(column > low)
         part = part if high is None else part.where(column <= high)
         removed = index.add(part, key, text)
         found = removed if found is None else found.unionByName(removed)
-    return remove_repeats(docs, found, key, text, keep_text)
+    return remove_repeats(docs, found, key, text, keep_text, distinct)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
