@@ -599,3 +599,64 @@ def face_raster(spark, d):
 @query()
 def greedy_projection(spark, d):
     return mesh.greedyprojection(neighbors.normal(clouds.vector(spark, d)), 0.2, num_neighbors=12)
+
+
+# whole clouds against each other
+
+from . import apps  # noqa: E402
+
+_NEAR = f"(SELECT a.pid, min(pow(a.X - b.X, 2) + pow(a.Y - b.Y, 2) + pow(a.Z - b.Z, 2)) AS d2 FROM {VECTOR} a, {VECTOR} b WHERE a.Classification < 5 AND b.Classification >= 5 GROUP BY a.pid)"
+_FAR = f"(SELECT a.pid, min(pow(a.X - b.X, 2) + pow(a.Y - b.Y, 2) + pow(a.Z - b.Z, 2)) AS d2 FROM {VECTOR} a, {VECTOR} b WHERE a.Classification >= 5 AND b.Classification < 5 GROUP BY a.pid)"
+
+
+def _halves(spark, d):
+    df = clouds.vector(spark, d)
+    return df.where("Classification < 5"), df.where("Classification >= 5")
+
+
+@query(f"SELECT round((SELECT sum(d2) FROM {_NEAR}) + (SELECT sum(d2) FROM {_FAR}), 6) AS chamfer")
+def chamfer(spark, d):
+    return apps.chamfer(*_halves(spark, d)).select(r6("chamfer"))
+
+
+@query(f"SELECT round(greatest((SELECT sqrt(max(d2)) FROM {_NEAR}), (SELECT sqrt(max(d2)) FROM {_FAR})), 6) AS hausdorff, round(greatest((SELECT avg(sqrt(d2)) FROM {_NEAR}), (SELECT avg(sqrt(d2)) FROM {_FAR})), 6) AS modified")
+def hausdorff(spark, d):
+    return apps.hausdorff(*_halves(spark, d)).select(r6("hausdorff"), r6("modified"))
+
+
+@query(f"""WITH n AS (SELECT a.pid, a.X AS ax, arg_min(b.X, pow(a.X - b.X, 2) + pow(a.Y - b.Y, 2) + pow(a.Z - b.Z, 2)) AS bx FROM {VECTOR} a, {VECTOR} b WHERE a.Classification < 5 AND b.Classification >= 5 GROUP BY a.pid, a.X)
+SELECT 'X' AS dimension, round(min(bx - ax), 6) AS min, round(max(bx - ax), 6) AS max, round(avg(bx - ax), 6) AS mean FROM n""")
+def delta(spark, d):
+    return apps.delta(*_halves(spark, d), dimensions=("X", "Y", "Z")).where("dimension = 'X'").select("dimension", r6("min"), r6("max"), r6("mean"))
+
+
+@query(f"""WITH n AS (SELECT a.Classification AS p, arg_min(b.Classification, pow(a.X - b.X, 2) + pow(a.Y - b.Y, 2) + pow(a.Z - b.Z, 2)) AS t FROM {VECTOR} a, {VECTOR} b WHERE a.pid % 2 = 0 AND b.pid % 2 = 1 GROUP BY a.pid, a.Classification),
+l AS (SELECT unnest([0, 1, 2, 3]) AS label), c AS (SELECT label, count(*) FILTER (t = label AND p = label) AS tp, count(*) FILTER (t <> label AND p = label) AS fp, count(*) FILTER (t = label AND p <> label) AS fn FROM l, n GROUP BY label)
+SELECT label::INTEGER AS label, (tp + fn)::BIGINT AS support, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS iou, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision FROM c""")
+def evaluation(spark, d):
+    df = clouds.vector(spark, d)
+    per, _ = apps.evaluate(df.where("pid % 2 = 0"), df.where("pid % 2 = 1"), [0, 1, 2, 3])
+    return per.select("label", "support", r6("iou"), r6("precision"))
+
+
+@query()
+def ground_preset(spark, d):
+    return apps.ground(clouds.vector(spark, d), cell=0.1).select("pid", F.col("Classification").cast("int").alias("classification"))
+
+
+@query(f"SELECT pid, X * 2 AS x FROM {EVENT} WHERE Z > 50")
+def json_pipeline(spark, d):
+    from . import pipeline
+
+    stages = [{"type": "readers.buffer", "frame": "@events"}, {"type": "filters.range", "limits": "Z(50:]"}, {"type": "filters.assign", "value": "X = X * 2"}]
+    return pipeline.run(spark, stages, {"events": clouds.event(spark, d)}).points.select("pid", F.col("X").alias("x"))
+
+
+@query("SELECT i::BIGINT AS pid, 10 + i * (90.0 / 999) AS x FROM range(0, 1000) t(i)")
+def faux_ramp(spark, d):
+    from ..sources import synthetic
+
+    return synthetic.faux(spark, "ramp", 1000, "([10,100],[0,1],[0,1])").select("pid", F.round("X", 6).alias("x"))
+
+
+SQL["faux_ramp"] = "SELECT i::BIGINT AS pid, round(10 + i * (90.0 / 999), 6)::DOUBLE AS x FROM range(0, 1000) t(i)"
