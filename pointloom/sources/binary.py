@@ -281,11 +281,11 @@ def read_optech(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bpf_header(data: bytes) -> dict:
-    magic, version, length, dims, layout, packed, _, count, coord, zone, spacing = struct.unpack("<4s4siBBBBiiif", data[:36])
+    magic, version, length, dims, layout, packed, _, count, coord, zone, spacing = struct.unpack("<4s4siBBBBiiif", data[:32])
     if magic != b"BPF!" or version != b"0003":
         raise ValueError("not a BPF 3 file")
-    matrix = np.frombuffer(data, "<f8", 16, 36).reshape(4, 4)
-    at = 36 + 128 + 16
+    matrix = np.frombuffer(data, "<f8", 16, 32).reshape(4, 4)
+    at = 32 + 128 + 16
     offsets = np.frombuffer(data, "<f8", dims, at)
     names = [data[at + 24 * dims + 32 * i : at + 24 * dims + 32 * (i + 1)].rstrip(b"\0").decode() for i in range(dims)]
     return {"length": length, "dims": names, "layout": layout, "compressed": packed, "count": count, "matrix": matrix, "offsets": offsets}
