@@ -44,9 +44,9 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 75
 #: A shingle is frequent from so many sets on, and from its share of all on that lets no more than FREQUENT_MOST be so.
-FREQUENT_LEAST, FREQUENT_MOST, LOCAL_LEAST = 64, 1 << 20, 8
+FREQUENT_LEAST, FREQUENT_MOST, LOCAL_LEAST = 64, 1 << 20, 4
 #: Shingles that a task holds at once, in counting and in a chunk of a cluster; documents that all chunks of a cluster share.
-HELD, CHUNK, HUBS = 4_000_000, 2_000_000, 8
+HELD, CHUNK, HUBS = 2_000_000, 1_000_000, 8
 BROADCAST_ROWS = 1_000_000
 FIRST_ID = -(2**63)
 
@@ -256,7 +256,8 @@ class _Local:
         self.sets: list[np.ndarray] = []
         self.parent: list[int] = []
         self.ell: list[int] = []
-        self.posts: dict[int, dict[int, list[int]]] = {}
+        #: sets with a token in their prefix: the set itself where it is one, else lists by component
+        self.posts: dict[int, int | dict[int, list[int]]] = {}
         self.links: list[tuple[int, int]] = []
         self.known: dict[int, int] = {}
 
@@ -289,25 +290,27 @@ class _Local:
             self.known[component] = i
         tokens = tokens.tolist()
         by_root = Counter()
+        posts, shared = self.posts, []
         for t in tokens:
-            post = self.posts.get(t)
-            if post:
+            post = posts.get(t)
+            if post is not None:
+                if isinstance(post, int):
+                    posts[t] = post = {self.find(post): [post]}
+                shared.append(t)
                 roots = {r: self.find(r) for r in post}
                 if any(r != f for r, f in roots.items()):
                     merged: dict[int, list[int]] = {}
                     for r, f in roots.items():
                         merged.setdefault(f, []).extend(post[r])
-                    self.posts[t] = post = merged
+                    posts[t] = post = merged
                 by_root.update(post.keys())
         for root, _ in by_root.most_common():
             if self.find(root) == self.find(i):
                 continue
             # the set that shares most is verified first; all that share enough are, until one links
             counts = Counter()
-            for t in tokens:
-                post = self.posts.get(t)
-                if post and root in post:
-                    counts.update(post[root])
+            for t in shared:
+                counts.update(posts[t].get(root, ()))
             for j, c in counts.most_common():
                 if c >= min(ell, self.ell[j]) and self.similar(i, j):
                     self.parent[self.find(i)] = self.find(j)
@@ -315,7 +318,11 @@ class _Local:
                     break
         own = self.find(i)
         for t in tokens:
-            self.posts.setdefault(t, {}).setdefault(own, []).append(i)
+            post = posts.get(t)
+            if post is None:
+                posts[t] = i
+            else:
+                post.setdefault(own, []).append(i)
 
 
 def _join_chunks(rows: DataFrame, order, size: int, percent: int) -> DataFrame:
