@@ -3,20 +3,20 @@
 A document's set are its distinct ``SHINGLE``-word shingles. Sets are ordered by
 rarity (shingles that are frequent over the corpus last, the others by hash).
 Two sets of the asked similarity share at least l shingles among the first
-n - ceil(s * n) + l of each; l = 1 is the plain prefix. Documents lengthen their
-prefixes by an eighth of their size, and by a quarter where the frequent shingles
-in it make candidates costly, and a pair must then share as many more
-(the smaller of the two documents' l).
+n - ceil(s * n) + l of each; l = 1 is the plain prefix. A pair must share the lesser of its two sets' l.
 
 1. Every text gives its set's hash and size; equal sets are one from here on.
-2. Prefix shingles meet by shuffle. A set of whose prefix fewer than l
-   shingles occur elsewhere has no partner and is gone.
-3. The others are clustered by shared plain-prefix shingles (one link
-   from each set to the first of its shingle, never pairs), texts are dealt by
-   cluster, in chunks of a bounded number of shingles, and joined inside: an
-   inverted index over prefixes counts matches per candidate, skips candidates that
-   are already linked, and verifies the rest on whole sets.
-4. Clusters of several chunks share hub documents; if they are then not one
+2. With l a sixteenth of the size, prefix shingles meet by shuffle. A set of whose prefix
+   too few shingles occur elsewhere has no partner and is gone: its candidates cost nothing.
+3. The others lengthen their prefixes to l = half the size. Each shingle links its sets to the first
+   of them (never pairs). A set may drop its weakest links as long as they stand
+   for fewer than half the shingles it must share: any true pair still keeps a link that both have.
+   Clusters are the components of what is left.
+4. Texts are dealt by cluster, in chunks of a bounded number of shingles, and joined inside: an
+   inverted index over prefixes (l an eighth, or a quarter where frequent shingles make candidates
+   costly) counts matches per candidate, skips candidates that are already linked, and
+   verifies the rest on whole sets.
+5. Clusters of several chunks share hub documents; if they are then not one
    component, every set outside the largest is joined with all chunks.
 
 Links found span every component of the full graph: a pair is skipped only if both are
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -80,9 +80,13 @@ def matches(n, costly):
     return np.maximum(1, np.where(costly, n // 4, n // 8))
 
 
-def least_matches(n, percent: int = PERCENT):
-    """The least l of a set of size n with any partner, whose size may be smaller."""
-    return np.maximum(1, needed(n, percent) // 8)
+#: l as a share of the size, before and after a prefix is lengthened: one in so many.
+SHORT, LONG = 16, 2
+
+
+def least_matches(part: int, percent: int = PERCENT, n: str = "n"):
+    """The least l (one in ``part`` of the size) that a set of size n and any partner have."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(F.col(n) * percent / 100) / part)).cast("long")
 
 
 class Order:
@@ -111,6 +115,11 @@ class Order:
         ell = int(matches(n, costly))
         return ordered[: plain + ell - 1], plain, ell
 
+    def longer(self, x: np.ndarray, part: int, percent: int = PERCENT) -> np.ndarray:
+        """The prefix for l = one in ``part`` of the size."""
+        n = len(x)
+        return self.arrange(x)[0][: n - needed(n, percent) + max(1, n // part)]
+
 
 SETS = "kind int, x long, y long, n long"
 
@@ -159,93 +168,107 @@ def _order(spark: SparkSession, stored: DataFrame) -> Order:
     return Order(x[at], n[at])
 
 
-def _prefixes(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
-    """token, sid, n, plain (whether in the plain prefix) of every document's prefix."""
+def _prefixes(docs: DataFrame, order, part: int, size: int, percent: int) -> DataFrame:
+    """token, node, n of every document's prefix. docs: node (null: the set's hash) and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
-        seen: set[int] = set()
         for batch in batches:
-            tokens, sids, sizes, plains, lengths = [], [], [], [], []
-            for _, x in shingle_sets(texts_of(batch.column(0)), size):
-                h = set_hash(x)
-                if not len(x) or h in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(h)
-                p, plain, _ = ranked.prefix(x, percent)
-                tokens.append(p)
-                sids.append(h)
-                sizes.append(len(x))
-                plains.append(np.arange(len(p)) < plain)
-                lengths.append(len(p))
+            own, tokens, nodes, sizes = batch.column(0).to_pylist(), [], [], []
+            for i, x in shingle_sets(texts_of(batch.column(1)), size):
+                if len(x):
+                    tokens.append(ranked.longer(x, part, percent))
+                    nodes.append(own[i] if own[i] is not None else set_hash(x))
+                    sizes.append(len(x))
             if tokens:
+                lengths = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(plains))],
-                    names=["token", "sid", "n", "plain"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))],
+                    names=["token", "node", "n"],
                 )
 
-    return map_arrow(docs, run, "token long, sid long, n int, plain boolean")
+    return map_arrow(docs, run, "token long, node long, n int")
+
+
+def _wide(df: DataFrame, run, schema: str) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    return df.mapInArrow(run, schema)
 
 
 def _met(tokens: DataFrame) -> DataFrame:
-    """The tokens that several sets have, with each of those sets once. Groups are read as a stream of sorted rows."""
+    """node and how many of its tokens other nodes have too. Sorted rows are read as a stream: no token is gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_met = None, False  # the last row so far, and whether it went out
+        last_t = last_s = None  # the last row so far, and whether it was counted
+        last_met = True
         for batch in batches:
             t, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(t):
                 continue
-            columns = [t, s, batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)]
-            if last is not None:
-                columns = [np.concatenate(([v], c)) for v, c in zip(last, columns, strict=True)]
-                t, s = columns[0], columns[1]
+            if last_t is not None:
+                t, s = np.concatenate(([last_t], t)), np.concatenate(([last_s], s))
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            keep = np.flatnonzero(fresh)
-            columns = [c[keep] for c in columns]
-            t = columns[0]
+            t, s = t[fresh], s[fresh]
             met = np.zeros(len(t), bool)
             same = t[1:] == t[:-1]
             met[1:] |= same
             met[:-1] |= same
             out = met.copy()
-            if last is not None and last_met:
-                out[0] = False  # it went out before
-            tail_met = bool(met[-1]) or (len(t) == 1 and last is not None and last_met)
-            last, last_met = [c[-1] for c in columns], tail_met
+            if last_t is not None and last_met:
+                out[0] = False
+            last_met = bool(met[-1]) or (len(t) == 1 and last_t is not None and last_met)
+            last_t, last_s = t[-1], s[-1]
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names=["token", "sid", "n", "plain"])
+                nodes, counts = np.unique(s[out], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts.astype(np.int64))], names=["node", "c"])
 
-    tokens.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
-    return tokens.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "token long, sid long, n int, plain boolean")
+    return _wide(tokens.select("token", "node").repartition("token").sortWithinPartitions("token", "node"), run, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
 
 
-def _cluster_links(tokens: DataFrame, percent: int) -> DataFrame:
-    """A link from each set to the first set of its run, per token: runs are sets in order of size with no gap that similarity cannot bridge."""
+def _leads(tokens: DataFrame, percent: int) -> DataFrame:
+    """node, head, n and for how many tokens head is the first of node's run.
+
+    A token's sets in order of size form runs without a gap that similarity cannot bridge; runs of one set are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_t = last_n = head = None
+        held = None  # rows of a run that the next batch may continue: at most its head (counted or not) and last size
         for batch in batches:
-            t, n, s = (batch.column(i).to_numpy() for i in range(3))
+            t, s, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(t):
                 continue
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
-            carried = last_t is not None and t[0] == last_t and 100 * int(last_n) >= percent * int(n[0])
-            if carried:
+            if held is not None and t[0] == held["t"] and 100 * int(held["n"]) >= percent * int(n[0]):
                 new[0] = False
             at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            heads = np.where(at >= 0, s[np.maximum(at, 0)], head if head is not None else 0)
-            last_t, last_n, head = t[-1], n[-1], heads[-1]
-            other = heads != s
-            pairs = np.unique(np.stack([heads[other], s[other]]), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    return tokens.repartition("token").sortWithinPartitions("token", "n", "sid").select("token", "n", "sid").mapInArrow(run, "a long, b long")
+            heads = np.where(at >= 0, s[np.maximum(at, 0)], held["head"] if held is not None else 0)
+            follows = ~new
+            first_of_pair = np.zeros(len(t), bool)
+            first_of_pair[:-1] = new[:-1] & follows[1:]
+            count = follows | first_of_pair
+            node, head, size = s[count], heads[count], n[count]
+            if not new[0] and held["single"]:  # the head, now that its run has a second set
+                node, head, size = np.append(node, held["head"]), np.append(head, held["head"]), np.append(size, held["head_n"])
+            single = bool(new[-1])
+            held = {"t": t[-1], "n": n[-1], "head": heads[-1], "single": single, "head_n": n[-1] if single else 0}
+            if len(node):
+                rows = np.stack([node, head, size.astype(np.int64)], 1)
+                rows, counts = np.unique(rows, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(counts.astype(np.int64))], names=["node", "head", "n", "c"])
+
+    made = _wide(tokens.repartition("token").sortWithinPartitions("token", "n", "node"), run, "node long, head long, n int, c long")
+    return made.groupBy("node", "head").agg(F.max("n").alias("n"), F.sum("c").alias("c"))
+
+
+def _kept(leads: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that are left: none of sets that share too little, and not the weakest of a set's."""
+    own = Window.partitionBy("node")  # at most a set's size of rows
+    weak = F.sum(F.when(F.col("node") != F.col("head"), F.col("c")).otherwise(0)).over(own.orderBy("c", "head").rowsBetween(Window.unboundedPreceding, 0))
+    least = least_matches(LONG, percent)
+    ranked = leads.withColumn("all", F.sum("c").over(own)).withColumn("weak", weak)
+    return ranked.where((F.col("all") >= least) & (F.col("node") != F.col("head")) & (F.col("weak") > F.floor((least - 1) / 2))).select(F.col("node").alias("a"), F.col("head").alias("b"))
 
 
 class _Local:
@@ -366,20 +389,27 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = stored.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("sid"), "n")
     order = spark.sparkContext.broadcast(_order(spark, stored))
 
-    met = _met(_prefixes(keyed.select("text"), order, size, percent))
-    lists = met.groupBy("sid", "n").agg(F.collect_list(F.when(F.col("plain"), F.col("token"))).alias("plain"), F.count("*").alias("c"))  # bounded by a set's size
-    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 8))
-    live = materialize(lists.where(F.col("c") >= enough).select("sid", "n", "plain"))
-    links = _cluster_links(live.select(F.explode("plain").alias("token"), "sid", "n"), percent)
-    clusters = components(links)
-
-    members = clusters.join(live.select(F.col("sid").alias("node"), "n"), "node").select(F.col("root").alias("cluster"), F.col("node").alias("sid"), "n")
+    # a node is the first document of a set; its id, unless ids repeat, then the set's hash
+    first = materialize(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("k")))
+    distinct = sets.groupBy("id").count().where("count > 1").isEmpty()
+    nodes = first.select("sid", "id", "n", (F.col("id") if distinct else F.col("sid")).alias("node"))
+    if distinct:
+        later = sets.where("n > 0").join(first.where("k > 1").select("sid", F.col("id").alias("f")), "sid").where("id > f").select("id")
+        once = keyed.join(_small(materialize(later)), "id", "left_anti").select(F.col("id").alias("node"), "text")
+    else:
+        once = keyed.select(F.lit(None).cast("long").alias("node"), "text")
+
+    met = _met(_prefixes(once, order, SHORT, size, percent))
+    live = materialize(met.join(nodes, "node").where(F.col("c") >= least_matches(SHORT, percent)).select("node", "sid", "id", "n"))
+    again = keyed.join(_small(live.select("id", F.col("node").alias("known"))), "id").select(F.col("known") if distinct else F.lit(None).cast("long"), "text")
+    leads = _leads(_prefixes(again.toDF("node", "text"), order, LONG, size, percent), percent)
+    clusters = components(_kept(leads, percent))
+
+    members = clusters.join(live, "node").withColumnRenamed("root", "cluster")
     weights = members.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"), F.count("*").alias("k"))
-    members = materialize(members.join(weights, "cluster").withColumn("chunk", F.expr("pmod(xxhash64(sid), chunks)")))
-    first = sets.groupBy("sid").agg(F.min("id").alias("id"))
-    here = materialize(members.join(first, "sid"))
+    here = materialize(members.join(weights, "cluster").where("k > 1").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")))
     with_text = keyed.join(_small(here), "id")
-    hub = (F.col("chunks") > 1) & (F.expr(f"pmod(xxhash64(sid, 2), greatest(1, k div {HUBS}))") == 0)
+    hub = (F.col("chunks") > 1) & (F.expr(f"pmod(xxhash64(node, 2), greatest(1, k div {HUBS}))") == 0)
     chunks = F.when(hub, F.expr("sequence(0L, chunks - 1)")).otherwise(F.array("chunk"))
     dealt = with_text.select("cluster", F.explode(chunks).alias("chunk"), "n", "sid", F.col("sid").alias("component"), "text")
     found = materialize(_join_chunks(dealt, order, size, percent))
@@ -388,8 +418,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     large = here.where("chunks > 1")
     if not large.isEmpty():
         placed = materialize(large.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("component", F.coalesce("root", "sid")).drop("root"))
-        sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-        largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts"))
+        sizes = placed.groupBy("cluster", "component").agg(F.count("*").alias("m"))
+        largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("parts"))
         open_ = materialize(placed.join(largest.where("parts > 1"), "cluster"))
         if not open_.isEmpty():
             rest = open_.where("component != largest")
@@ -399,21 +429,19 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             bases = open_.join(blocks, "cluster").withColumn("at", F.col("chunk")).select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
             wanted = ["id", "cluster", chunk_of, "n", "sid", "component"]
             both = probes.select(*wanted).unionByName(bases.select(*wanted)).distinct()
-            again = keyed.join(both, "id").select("cluster", "chunk", "n", "sid", "component", "text")
-            more = materialize(_join_chunks(again, order, size, percent))
-            roots = components(found.unionByName(more))
+            more = keyed.join(_small(materialize(both)), "id").select("cluster", "chunk", "n", "sid", "component", "text")
+            roots = components(found.unionByName(materialize(_join_chunks(more, order, size, percent))))
 
     least = first.join(roots.select(F.col("node").alias("sid"), "root"), "sid")
     best = least.groupBy("root").agg(F.min("id").alias("component"))
-    copies = sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("own"), F.count("*").alias("k")).where("k > 1")
     linked = least.join(best, "root").select("sid", "component")
-    known = materialize(copies.join(linked, "sid", "full").select("sid", F.coalesce("component", "own").alias("component")))
-    out = sets.join(known, "sid", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    known = materialize(first.where("k > 1").select("sid", F.col("id").alias("own")).join(linked, "sid", "full").select("sid", F.coalesce("component", "own").alias("component")))
+    out = sets.join(known, "sid", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
-    def shown(c: str):
-        return F.when(F.col(c) != FIRST_ID, F.col(c)).cast(docs.schema[key].dataType)
+    def shown(c):
+        return F.when(c != FIRST_ID, c).cast(docs.schema[key].dataType)
 
-    return out.select(shown("id").alias(key), F.col("n").alias("n_shingles"), shown("component").alias("component_id"))
+    return out.select(shown(F.col("id")).alias(key), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
