@@ -8,7 +8,7 @@ the payload as ancillary data; the bitrate of each frame is the highest, and of
 last ones the lowest that holds what is left, so that the rate varies.
 
 The reader skips the tag, finds headers again after damage (a header counts
-if it is valid and another header or the end follows its frame), verifies
+if it is valid and its checksum holds, or another header or the end follows its frame), verifies
 each checksum, reads the table, and gives exact durations (samples over the
 rate) and every frame's offset.
 
@@ -152,6 +152,11 @@ def _header(data: bytes, at: int) -> tuple[int, int, int, bool, int] | None:
     return _length(index, RATES[rate], (b >> 1) & 1), BITRATES[index], RATES[rate], not data[at + 1] & 1, SIDE_MONO if mode == 3 else SIDE_STEREO
 
 
+def _checksum_holds(data: bytes, at: int, header: tuple[int, int, int, bool, int]) -> bool:
+    _, _, _, checked, side = header
+    return checked and frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == data[at + 4] << 8 | data[at + 5]
+
+
 def _read_tag(data: bytes, tags: dict[str, str]) -> int:
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
@@ -175,14 +180,14 @@ def decode(data: bytes | None) -> Stream:
     n = len(data)
     while at < n:
         h = _header(data, at)
-        if h is None or not (at + h[0] == n or _header(data, at + h[0])):
+        if h is None or at + h[0] > n or not (at + h[0] == n or _header(data, at + h[0]) or _checksum_holds(data, at, h)):
             to = data.find(b"\xff", at + 1)
             out.skipped_bytes += (to if to >= 0 else n) - at
             at = to if to >= 0 else n
             continue
         length, kbit, rate, checked, side = h
         begin = at + 4 + 2 * checked
-        if checked and frame_crc(data[at + 2 : at + 4] + data[begin : begin + side]) != data[at + 4] << 8 | data[at + 5]:
+        if checked and not _checksum_holds(data, at, h):
             out.bad_checksums += 1
         body = data[begin + side : at + length]
         if first and body[:4] == b"Xing":
