@@ -14,13 +14,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, ranges
 from ..scratch import materialize
+from ..ship import ship
 
 RADIUS_STRICT = True
+#: So few pairs (counted) are compared at once, without cells.
+SMALL_PAIRS = 4_000_000
 AXES = ("X", "Y", "Z")
 
 
@@ -68,11 +72,12 @@ def knn(query: DataFrame, reference: DataFrame, k: int, d: int | list[str] = 3,
     if width is None:
         solid = [s for s in spans if s > 0] or [1.0]
         width = max((math.prod(solid) * max(2, take) / n) ** (1 / len(solid)), largest * 1e-6)
+    small = n * n <= SMALL_PAIRS and n * query.count() <= SMALL_PAIRS
     left, parts = query, []
     by_rank = Window.partitionBy("pid").orderBy("d2", "nid")
     while True:
         # beyond the whole extent every reference row is in reach: plain neighbours of one cell
-        last = width > 4 * largest
+        last = small or width > 4 * largest
         q = left.select("pid", *[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(dims)], *(_cells(grid, width) if not last else []))
         r = reference.select(F.col("pid").alias("nid"), *dict.fromkeys([*dims, *keep]))
         r = r if last else _spread(r, grid, width)
@@ -82,6 +87,8 @@ def knn(query: DataFrame, reference: DataFrame, k: int, d: int | list[str] = 3,
             q, r, on = q.withColumn("__c0", F.lit(0)), r.withColumn("__c0", F.lit(0)), ["__c0"]
         d2 = sum((F.pow(F.col(f"q{i}") - F.col(f"r{i}"), F.lit(2)) for i in range(len(dims))), F.lit(0.0))
         found = q.join(r, on).select("pid", "nid", d2.alias("d2"), *[f"n_{c}" for c in keep]).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= take)
+        if small:
+            return found.select("pid", "nid", "d2", "rank", *[f"n_{c}" for c in keep])
         found = materialize(found)
         done = found.groupBy("pid").agg(F.count("*").alias("have"), F.max("d2").alias("far")).where((F.col("have") == take) & ((F.col("far") < width * width) | F.lit(last)))
         parts.append(found.join(done.select("pid"), "pid", "left_semi"))
@@ -220,33 +227,50 @@ def neighborhoods(df: DataFrame, k: int | None = None, radius: float | None = No
 
 
 def covariance(xyz: np.ndarray) -> np.ndarray:
-    """Of points (n, 3) about their mean, which is taken off in single precision; over n - 1."""
-    c = (xyz - xyz.mean(0)).astype(np.float32).astype(np.float64)
-    return c.T @ c / max(1, len(xyz) - 1)
+    """Of points (..., n, 3) about their mean, which is taken off in single precision; over n - 1."""
+    c = (xyz - xyz.mean(-2, keepdims=True)).astype(np.float32).astype(np.float64)
+    return np.swapaxes(c, -1, -2) @ c / max(1, xyz.shape[-2] - 1)
 
 
-def per_neighborhood(near: DataFrame, fn, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``fn(xyz, d2, row)`` of each neighbourhood, in Arrow batches; it returns a tuple for the schema's columns."""
-    names = [p.strip().split()[0] for p in schema.split(",")]
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for near_, *rest in zip(f["near"], *[f[e] for e in extra], strict=True):
-                xyz = np.array([(p["x"], p["y"], p["z"]) for p in near_], float).reshape(-1, 3)
-                rows.append(fn(xyz, np.array([p["d2"] for p in near_], float), *rest))
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "pid", f["pid"].to_numpy())
-            yield out
+def eigen(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending eigenvalues and eigenvectors (columns) of the covariance of one neighbourhood, or of a stack of them."""
+    return np.linalg.eigh(covariance(xyz))
 
-    from ..ship import ship
 
-    ship(near.sparkSession)
-    return near.select("pid", "near", *extra).mapInPandas(run, f"pid long, {schema}")
+def per_neighborhood(near: DataFrame, fn, schema: str, extra: tuple[str, ...] = (), stacked: bool = False) -> DataFrame:
+    """``fn(xyz, d2, *extra)`` of each neighbourhood; it returns a tuple for the schema's columns.
 
+    Neighbour lists stay Arrow buffers. With ``stacked`` the function gets all
+    neighbourhoods of one size in a batch at once, (m, n, 3) and (m, n), and returns arrays.
+    """
+    parts = [p.strip().split() for p in schema.split(",")]
+    kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            d2 = flat.field(0).to_numpy(zero_copy_only=False)
+            xyz = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], 1) if len(flat) else np.zeros((0, 3))
+            others = [batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(extra))]
+            sizes = np.diff(offsets)
+            made = [np.zeros(len(sizes)) for _ in parts]
+            if stacked:
+                for n in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == n)
+                    at = offsets[rows][:, None] + np.arange(n)
+                    for m, v in zip(made, fn(xyz[at], d2[at], *[o[rows] for o in others]), strict=True):
+                        m[rows] = v
+            else:
+                for i in range(len(sizes)):
+                    at = slice(offsets[i], offsets[i + 1])
+                    for m, v in zip(made, fn(xyz[at], d2[at], *[o[i] for o in others]), strict=True):
+                        m[i] = v
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(m).cast(kinds[t], safe=False) for m, (_, t) in zip(made, parts, strict=True)]], names=["pid", *[n for n, _ in parts]])
 
-def eigen(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.linalg.eigh(covariance(xyz))
+    ship(near.sparkSession)
+    return near.select("pid", "near", *extra).mapInArrow(run, f"pid long, {schema}")
 
 
 def eigenvalues(df: DataFrame, knn_: int = 8, normalize: bool = False, radius: float | None = None, min_k: int = 3, stride: int = 1) -> DataFrame:
@@ -254,13 +278,12 @@ def eigenvalues(df: DataFrame, knn_: int = 8, normalize: bool = False, radius: f
 
     def fn(xyz, d2):
         c = covariance(xyz)
-        if not c.any():
-            return 0.0, 0.0, 0.0
-        v = np.linalg.eigvalsh(c)
-        v = v / v.sum() if normalize and v.sum() else v
-        return tuple(map(float, v))
+        v = np.where(c.any((1, 2))[:, None], np.linalg.eigvalsh(c), 0.0)
+        total = v.sum(1, keepdims=True)
+        v = np.divide(v, total, out=v, where=total != 0) if normalize else v
+        return v[:, 0], v[:, 1], v[:, 2]
 
-    made = per_neighborhood(neighborhoods(df, knn_, radius, min_k, stride), fn, "Eigenvalue0 double, Eigenvalue1 double, Eigenvalue2 double")
+    made = per_neighborhood(neighborhoods(df, knn_, radius, min_k, stride), fn, "Eigenvalue0 double, Eigenvalue1 double, Eigenvalue2 double", stacked=True)
     return df.join(made, "pid", "left").fillna(0.0, ["Eigenvalue0", "Eigenvalue1", "Eigenvalue2"])
 
 
@@ -272,16 +295,17 @@ def normal(df: DataFrame, knn_: int = 8, radius: float | None = None, viewpoint:
 
     def fn(xyz, d2, x, y, z):
         v, e = eigen(xyz)
-        n = e[:, 0]
+        n = e[:, :, 0]
         if viewpoint is not None:
-            n = -n if np.dot(np.subtract(viewpoint, (x, y, z)), n) < 0 else n
-        elif always_up and n[2] < 0:
-            n = -n
-        total = v.sum()
-        return float(n[0]), float(n[1]), float(n[2]), float(abs(v[0] / total)) if total else 0.0
-
-    near = neighborhoods(df, knn_, radius).join(df.select("pid", "X", "Y", "Z"), "pid")
-    made = per_neighborhood(near, fn, "NormalX double, NormalY double, NormalZ double, Curvature double", ("X", "Y", "Z"))
+            away = ((np.array(viewpoint) - np.stack([x, y, z], 1)) * n).sum(1) < 0
+        else:
+            away = (n[:, 2] < 0) & always_up
+        n = np.where(away[:, None], -n, n)
+        total = v.sum(1)
+        return n[:, 0], n[:, 1], n[:, 2], np.abs(np.divide(v[:, 0], total, out=np.zeros(len(v)), where=total != 0))
+
+    near = neighborhoods(df, knn_, radius).join(df.select("pid", *[F.col(c).cast("double").alias(c) for c in AXES]), "pid")
+    made = per_neighborhood(near, fn, "NormalX double, NormalY double, NormalZ double, Curvature double", AXES, stacked=True)
     out = df.join(made, "pid", "left")
     return refine_normals(out, knn_) if refine else out
 
@@ -320,6 +344,11 @@ def refine_normals(df: DataFrame, knn_: int = 8) -> DataFrame:
     return rows.groupBy("__view").applyInPandas(turn, df.schema)
 
 
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, and 0 where b is 0."""
+    return np.divide(a, b, out=np.zeros(len(b)), where=b != 0)
+
+
 FEATURES = ("Linearity", "Planarity", "Scattering", "Verticality", "Omnivariance", "Anisotropy", "Eigenentropy", "EigenvalueSum", "SurfaceVariation", "DemantkeVerticality", "Density")
 
 
@@ -327,34 +356,42 @@ def covariancefeatures(df: DataFrame, knn_: int = 10, feature_set: str | list[st
     """Shape features of each neighbourhood's eigenvalues: raw, their square roots, or shares of their sum."""
     wanted = FEATURES if feature_set == "all" else FEATURES[:4] if feature_set == "dimensionality" else tuple(feature_set)
 
-    def fn(xyz, d2, own=None):
-        if own is not None and own > 0:
-            xyz, d2 = xyz[: int(own)], d2[: int(own)]
+    def features(xyz, d2):
         v, e = eigen(xyz)
-        l1, l2, l3 = (max(0.0, float(x)) for x in v[::-1])
+        l1, l2, l3 = np.maximum(v[:, ::-1].T, 0.0)
         if mode == "sqrt":
-            l1, l2, l3 = math.sqrt(l1), math.sqrt(l2), math.sqrt(l3)
+            l1, l2, l3 = np.sqrt(l1), np.sqrt(l2), np.sqrt(l3)
         elif mode == "normalized":
-            s = l1 + l2 + l3
-            l1, l2, l3 = (l1 / s, l2 / s, l3 / s) if s else (0.0, 0.0, 0.0)
+            whole = l1 + l2 + l3
+            l1, l2, l3 = (_over(x, whole) for x in (l1, l2, l3))
         total = l1 + l2 + l3
-        up = np.abs(e[2]) @ np.array([l3, l2, l1])
-        spread = np.abs(e) @ np.array([l3, l2, l1])
-        norm = float(np.linalg.norm(spread))
-        far = math.sqrt(d2.max()) if len(d2) else 0.0
-        entropy = -sum(x * math.log(x) for x in (l1, l2, l3) if x > 0)
+        # every axis' share of the scatter, by eigenvalue
+        spread = (np.abs(e) * np.stack([l3, l2, l1], 1)[:, None, :]).sum(2)
+        far = np.sqrt(d2.max(1)) if d2.shape[1] else np.zeros(len(d2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            entropy = -sum(np.where(x > 0, x * np.log(np.where(x > 0, x, 1)), 0) for x in (l1, l2, l3))
         values = {
-            "Linearity": (l1 - l2) / l1 if l1 else 0.0, "Planarity": (l2 - l3) / l1 if l1 else 0.0, "Scattering": l3 / l1 if l1 else 0.0,
-            "Verticality": float(up) / norm if norm else 0.0, "Omnivariance": (l1 * l2 * l3) ** (1 / 3), "Anisotropy": (l1 - l3) / l1 if l1 else 0.0,
-            "Eigenentropy": entropy, "EigenvalueSum": total, "SurfaceVariation": l3 / total if total else 0.0,
-            "DemantkeVerticality": 1.0 - abs(float(e[2, 0])), "Density": (len(xyz) + 1) / (4 / 3 * math.pi * far**3) if far else 0.0,
+            "Linearity": _over(l1 - l2, l1), "Planarity": _over(l2 - l3, l1), "Scattering": _over(l3, l1), "Verticality": _over(spread[:, 2], np.linalg.norm(spread, axis=1)),
+            "Omnivariance": np.cbrt(l1 * l2 * l3), "Anisotropy": _over(l1 - l3, l1), "Eigenentropy": entropy, "EigenvalueSum": total, "SurfaceVariation": _over(l3, total),
+            "DemantkeVerticality": 1.0 - np.abs(e[:, 2, 0]), "Density": _over(np.full(len(d2), d2.shape[1] + 1.0), 4 / 3 * math.pi * far**3),
         }
-        return tuple(float(values[w]) for w in wanted)
+        return tuple(values[w] for w in wanted)
+
+    def fn(xyz, d2, own=None):
+        if own is None:
+            return features(xyz, d2)
+        out = [np.zeros(len(xyz)) for _ in wanted]
+        for n in np.unique(own):  # each row's own number of neighbours
+            rows = np.flatnonzero(own == n)
+            k = int(n) if n > 0 else xyz.shape[1]
+            for o, v in zip(out, features(xyz[rows, :k], d2[rows, :k]), strict=True):
+                o[rows] = v
+        return tuple(out)
 
     near, extra = neighborhoods(df, knn_, radius, min_k, stride), ()
     if optimized:
         near, extra = neighborhoods(df, 14 if "OptimalKNN" not in df.columns else knn_ if knn_ > 14 else 14).join(df.select("pid", "OptimalKNN"), "pid"), ("OptimalKNN",)
-    made = per_neighborhood(near, fn, ", ".join(f"{w} double" for w in wanted), extra)
+    made = per_neighborhood(near, fn, ", ".join(f"{w} double" for w in wanted), extra, stacked=True)
     return df.join(made, "pid", "left").fillna(0.0, list(wanted))
 
 
@@ -370,25 +407,24 @@ def estimaterank(df: DataFrame, knn_: int = 8, thresh: float = 0.01) -> DataFram
 
     def fn(xyz, d2):
         s = np.linalg.svd(covariance(xyz), compute_uv=False)
-        return (int((s > thresh * s[0]).sum()) if s[0] > 0 else 0,)
+        return (((s > thresh * s[:, :1]) & (s[:, :1] > 0)).sum(1),)
 
-    return df.join(per_neighborhood(neighborhoods(df, knn_), fn, "Rank int"), "pid", "left")
+    return df.join(per_neighborhood(neighborhoods(df, knn_), fn, "Rank int", stacked=True), "pid", "left")
 
 
 def optimalneighborhood(df: DataFrame, min_k: int = 10, max_k: int = 14) -> DataFrame:
     """OptimalKNN and OptimalRadius: the number of neighbours with the least eigenentropy."""
 
     def fn(xyz, d2):
-        best, k_best = math.inf, min(min_k, len(xyz))
-        for k in range(min_k, min(max_k, len(xyz)) + 1):
-            v = np.maximum(np.linalg.eigvalsh(covariance(xyz[:k])), 0)
-            s = v.sum()
-            h = -sum(x / s * math.log(x / s) for x in v if x > 0) if s else 0.0
-            if h < best:
-                best, k_best = h, k
-        return k_best, math.sqrt(d2[k_best - 1]) if k_best else 0.0
-
-    return df.join(per_neighborhood(neighborhoods(df, max_k), fn, "OptimalKNN long, OptimalRadius double"), "pid", "left")
+        best, k_best = np.full(len(xyz), math.inf), np.full(len(xyz), min(min_k, xyz.shape[1]))
+        for k in range(min_k, min(max_k, xyz.shape[1]) + 1):
+            v = np.maximum(np.linalg.eigvalsh(covariance(xyz[:, :k])), 0)
+            p = _over(v.ravel(), np.repeat(v.sum(1), 3)).reshape(v.shape)
+            h = -(p * np.log(np.where(p > 0, p, 1))).sum(1)
+            k_best, best = np.where(h < best, k, k_best), np.minimum(h, best)
+        return k_best, np.sqrt(d2[np.arange(len(d2)), np.maximum(k_best - 1, 0)])
+
+    return df.join(per_neighborhood(neighborhoods(df, max_k), fn, "OptimalKNN long, OptimalRadius double", stacked=True), "pid", "left")
 
 
 def planefit(df: DataFrame, knn_: int = 8) -> DataFrame:

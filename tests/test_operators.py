@@ -130,7 +130,9 @@ def scattered():
     return np.round(np.vstack([r.normal(0, 1, (150, 3)), r.normal(8, 0.1, (60, 3)), [[100, 100, 100]], np.zeros((3, 3))]), 2)
 
 
-def test_knn_matches_brute_force(cloud, scattered):
+@pytest.mark.parametrize("small", [0, 10**9])
+def test_knn_matches_brute_force(cloud, scattered, monkeypatch, small):
+    monkeypatch.setattr(neighbors, "SMALL_PAIRS", small)
     want, d2 = brute_knn(scattered, 7)
     got = {}
     for r in neighbors.knn(cloud(scattered.tolist()), cloud(scattered.tolist()), 7).collect():
