@@ -343,7 +343,7 @@ def gdal_radius(spark, d):
 @query()
 def gdal_window(spark, d):
     df = clouds.event(spark, d).where("X % 3 = 0")
-    return aggregate.rasterize(df, 1.0, binmode=True, output_type=["mean"], window_size=2, origin=(0.0, 0.0)).select("col", "row", r6("mean"))
+    return aggregate.rasterize(df, 1.0, binmode=True, output_type=["mean"], window_size=2, origin=(0.0, 0.0)).select("col", "row", F.round(F.col("mean") + 1e-7, 3).alias("mean"))
 
 
 @query()
@@ -660,3 +660,25 @@ def faux_ramp(spark, d):
 
 
 SQL["faux_ramp"] = "SELECT i::BIGINT AS pid, round(10 + i * (90.0 / 999), 6)::DOUBLE AS x FROM range(0, 1000) t(i)"
+
+
+SQL["gdal_window"] = f"""WITH b AS (SELECT floor(X)::INTEGER AS col, floor(Y)::INTEGER AS row, avg(Z) AS mean FROM {EVENT} WHERE X % 3 = 0 GROUP BY ALL),
+n AS (SELECT b.col + dc AS col, b.row + dr AS row, mean, 1.0 / greatest(abs(dc), abs(dr)) AS w FROM b, range(-2, 3) x(dc), range(-2, 3) y(dr) WHERE dc <> 0 OR dr <> 0),
+f AS (SELECT col, row, sum(mean * w) / sum(w) AS mean FROM n WHERE col BETWEEN 0 AND (SELECT max(col) FROM b) AND row BETWEEN 0 AND (SELECT max(row) FROM b) AND NOT EXISTS (SELECT 1 FROM b WHERE b.col = n.col AND b.row = n.row) GROUP BY ALL)
+SELECT col::INTEGER AS col, row::INTEGER AS row, round(mean + 1e-7, 3) AS mean FROM (SELECT * FROM b UNION ALL SELECT * FROM f)"""
+SQL["hexbin"] = f"""WITH p AS (SELECT X - (SELECT arg_min(X, pid) FROM {EVENT}) AS x, Y - (SELECT arg_min(Y, pid) FROM {EVENT}) AS y, 5 * sqrt(3) AS h, 3 / (2 * sqrt(3)) * (5 * sqrt(3)) AS w FROM {EVENT}),
+c AS (SELECT *, floor(x / w) AS col FROM p), o AS (SELECT *, (((col::BIGINT % 2) + 2) % 2) <> 0 AS odd FROM c),
+r AS (SELECT *, floor((CASE WHEN odd THEN y - h / 2 ELSE y END) / h) AS row FROM o),
+t AS (SELECT *, x - col * w - w * 2 / 3 AS xr, (CASE WHEN odd THEN y - h / 2 ELSE y END) - row * h AS yr, (h / 2) / (w / 3) AS s FROM r),
+u AS (SELECT CASE WHEN xr > 0 AND yr - h / 2 > h / 2 - s * xr THEN col + 1 WHEN xr > 0 AND h / 2 - yr > h / 2 - s * xr THEN col + 1 ELSE col END AS hx,
+  CASE WHEN xr > 0 AND yr - h / 2 > h / 2 - s * xr THEN CASE WHEN odd THEN row + 1 ELSE row END WHEN xr > 0 AND h / 2 - yr > h / 2 - s * xr THEN CASE WHEN odd THEN row ELSE row - 1 END ELSE row END AS hy FROM t)
+SELECT hx::BIGINT AS hex_x, hy::BIGINT AS hex_y, count(*)::BIGINT AS count, count(*) >= 15 AS dense FROM u GROUP BY ALL"""
+SQL["voxel_centroid_nearest"] = f"""WITH v AS (SELECT pid, X, Y, Z, x0, y0, z0, floor((X - x0) / 8) AS a, floor((Y - y0) / 8) AS b, floor((Z - z0) / 8) AS c FROM {EVENT}, (SELECT arg_min(X, pid) AS x0, arg_min(Y, pid) AS y0, arg_min(Z, pid) AS z0 FROM {EVENT})),
+m AS (SELECT *, count(*) OVER w AS n, avg(X) OVER w AS mx, avg(Y) OVER w AS my, avg(Z) OVER w AS mz FROM v WINDOW w AS (PARTITION BY a, b, c)),
+d AS (SELECT pid, a, b, c, n, CASE WHEN n = 2 THEN pow(X - ((a + 0.5) * 8 + x0), 2) + pow(Y - ((b + 0.5) * 8 + y0), 2) + pow(Z - ((c + 0.5) * 8 + z0), 2) ELSE pow(X - mx, 2) + pow(Y - my, 2) + pow(Z - mz, 2) END AS d2 FROM m)
+SELECT pid FROM (SELECT pid, row_number() OVER (PARTITION BY a, b, c ORDER BY d2, CASE WHEN n = 2 THEN -pid ELSE pid END) AS k FROM d) WHERE k = 1"""
+SQL["skewness_balancing"] = f"""WITH r AS (SELECT pid, Z - (SELECT avg(Z) FROM {EVENT}) AS z, row_number() OVER (ORDER BY Z, pid) AS rn FROM {EVENT}),
+s AS (SELECT pid, rn, sum(z) OVER w / rn AS m, sum(z * z) OVER w / rn AS q, sum(z * z * z) OVER w / rn AS c FROM r WINDOW w AS (ORDER BY rn)),
+k AS (SELECT pid, rn, CASE WHEN q - m * m > 1e-300 THEN (c - 3 * m * q + 2 * m * m * m) / pow(q - m * m, 1.5) ELSE 0 END AS skew FROM s),
+x AS (SELECT max(rn) AS top FROM (SELECT rn, skew, lag(skew) OVER (ORDER BY rn) AS before FROM k) WHERE before < 0 AND skew > 0)
+SELECT pid, CASE WHEN top IS NULL OR rn < top THEN 2 ELSE 1 END::INTEGER AS classification FROM k, x"""
