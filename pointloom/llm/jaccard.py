@@ -254,12 +254,10 @@ def _leads(tokens: DataFrame, percent: int) -> DataFrame:
             single = bool(new[-1])
             held = {"t": t[-1], "n": n[-1], "head": heads[-1], "single": single, "head_n": n[-1] if single else 0}
             if len(node):
-                rows = np.stack([node, head, size.astype(np.int64)], 1)
-                rows, counts = np.unique(rows, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(counts.astype(np.int64))], names=["node", "head", "n", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(head), pa.array(size.astype(np.int32))], names=["node", "head", "n"])
 
-    made = _wide(tokens.repartition("token").sortWithinPartitions("token", "n", "node"), run, "node long, head long, n int, c long")
-    return made.groupBy("node", "head").agg(F.max("n").alias("n"), F.sum("c").alias("c"))
+    made = _wide(tokens.repartition("token").sortWithinPartitions("token", "n", "node"), run, "node long, head long, n int")
+    return made.groupBy("node", "head").agg(F.max("n").alias("n"), F.count("*").alias("c"))
 
 
 def _kept(leads: DataFrame, percent: int) -> DataFrame:
