@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import expr
-from ..operators import aggregate, cluster, mesh, neighbors, order, partition, pointwise, select, terrain, voxel
+from ..operators import aggregate, cluster, mesh, neighbors, order, partition, pointwise, select, terrain, udf, voxel
 from ..schema import standard_name
 
 #: Filters by stage name, and the names that JSON gives to options which differ from ours.
@@ -37,12 +37,12 @@ FILTERS: dict[str, tuple[Callable, dict[str, str]]] = {
     "separatescanline": (partition.separatescanline, {}), "skewnessbalancing": (terrain.skewnessbalancing, {}), "smrf": (terrain.smrf, {}), "sort": (order.sort, {}), "sparsesurface": (terrain.sparsesurface, {}), "splitter": (partition.splitter, {}),
     "straighten": (pointwise.straighten, {}), "streamcallback": (select.streamcallback, {}), "supervoxel": (cluster.supervoxel, {"knn": "knn_"}), "tail": (select.tail, {}), "trajectory": (terrain.trajectory, {}), "transformation": (pointwise.transformation, {}),
     "voxelcenternearestneighbor": (voxel.voxelcenternearestneighbor, {}), "voxelcentroidnearestneighbor": (voxel.voxelcentroidnearestneighbor, {}), "voxeldownsize": (voxel.voxeldownsize, {}), "zsmooth": (neighbors.zsmooth, {}),
-    "colorization": (pointwise.colorization, {}), "dem": (select.dem, {}), "hag_dem": (terrain.hag_dem, {"class": "class_"}), "georeference": (pointwise.georeference, {}),
+    "colorization": (pointwise.colorization, {}), "dem": (select.dem, {}), "hag_dem": (terrain.hag_dem, {"class": "class_"}), "georeference": (pointwise.georeference, {}), "h3": (udf.h3, {}), "python": (udf.python, {}),
 }
 #: Filters that leave the rows as they are and add an answer to the pipeline's metadata.
 REPORTS: dict[str, Callable[..., DataFrame]] = {"stats": aggregate.stats, "info": aggregate.info, "expressionstats": aggregate.expressionstats, "hexbin": aggregate.hexbin, "delaunay": mesh.delaunay, "greedyprojection": mesh.greedyprojection}
 #: Filters whose libraries are not available, or that run foreign code.
-UNAVAILABLE = {n: "its library is not available" for n in ("h3", "teaser", "poisson", "matlab", "julia")} | {"shell": "running commands is left to the caller"}
+UNAVAILABLE = {n: "its library is not available" for n in ("teaser", "poisson", "matlab", "julia")} | {"shell": "running commands is left to the caller"}
 SAME_ROWS = {"assign", "ferry", "colorinterp", "transformation", "outlier", "elm", "smrf", "pmf", "csf", "label_duplicates", "normal", "nndistance", "radialdensity", "hag_nn", "cluster", "dbscan"}
 
 

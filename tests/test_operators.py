@@ -246,3 +246,15 @@ def test_empty_clouds(cloud):
     e = cloud([(0, 0, 0)]).where("X > 1")
     for fn in (lambda d: select.head(d, 3), lambda d: select.decimation(d, 2), lambda d: order.sort(d, "X"), lambda d: voxel.voxeldownsize(d, 1.0), lambda d: neighbors.radialdensity(d), lambda d: voxel.sample(d, 1.0), lambda d: select.iqr(d, "X")):
         assert fn(e).count() == 0
+
+
+def test_user_code(cloud):
+    from pointloom.operators import udf
+
+    df = cloud([(i % 2, 0, i) for i in range(10)])
+    assert udf.python(df, lambda f: f[f["Z"] > 5]).count() == 4
+    assert {r.X: r.value for r in udf.aggregate(df, ["X"], lambda v: v.max() - v.min(), "Z").collect()} == {0.0: 8.0, 1.0: 8.0}
+    with pytest.raises(PermissionError):
+        udf.shell(df, "true")
+    with pytest.raises(NotImplementedError):
+        udf.h3(df, 5)
