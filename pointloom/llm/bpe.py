@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_arrow, only, rows_batch, table, texts_of
 
 #: Distinct pieces whose encodings a worker keeps; beyond it the memory is emptied.
-CACHED_PIECES = 800_000
+CACHED_PIECES = 250_000
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -112,7 +112,7 @@ class PrefixEncoder:
                         break
                 if not found:
                     break
-            if len(self._beside) > 1_000_000:
+            if len(self._beside) > 250_000:
                 self._beside.clear()
             self._beside[key] = found
         return found
