@@ -325,7 +325,10 @@ class _Local:
                         merged.setdefault(f, []).extend(post[r])
                     posts[t] = post = merged
                 by_root.update(post.keys())
-        for root, _ in by_root.most_common():
+        least = max(1, needed(len(x), self.percent) // 8)  # no partner has a smaller l
+        for root, together in by_root.most_common():
+            if together < least:
+                break
             if self.find(root) == self.find(i):
                 continue
             # the set that shares most is verified first; all that share enough are, until one links
