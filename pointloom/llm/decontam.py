@@ -27,7 +27,8 @@ WINDOW = 10
 BROADCAST_WINDOWS = 100_000
 # Fixed values of the contract: what separates words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower case: as many as after it.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,7 +86,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     spots = found.select("id", "h", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("len") - 1)).alias("at")).distinct().groupBy("id", "h").agg(F.count("*").alias("n_hit"))
     items = found.select("id", "h", F.explode("items").alias("item")).distinct().groupBy("id", "h").agg(F.sort_array(F.collect_list("item")).alias("items"))
     hits = spots.withColumnsRenamed({"id": "sid", "h": "sh"}).join(items, F.col("sid").eqNullSafe(F.col("id")) & (F.col("sh") == F.col("h"))).select("sid", "sh", "n_hit", "items")
-    own = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.regexp_count(lowered(text), F.lit(WORD)).cast("long").alias("n_words"))
+    own = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"))
     return own.join(hits, F.col("id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").select(
         F.col("id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     ).select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
