@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow, only, rows_batch, table, texts_of
 
-#: Distinct pieces whose encodings a worker keeps; beyond it the memory is emptied.
-CACHED_PIECES = 250_000
+#: Distinct pieces and pairs of tokens that a worker remembers, in two generations: when the
+#: younger is half of them, it becomes the older, from which what is met again comes back.
+CACHED_PIECES, CACHED_PAIRS = 500_000, 300_000
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -48,13 +49,13 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self.tails = {b[i:] for b in ranks for i in range(len(b))}
+        #: Of every end of a token: 0 if it is no token, 2 if it is one, 1 once merging is known to make it.
+        self.kind = dict.fromkeys((b[i:] for b in ranks for i in range(len(b))), 0) | dict.fromkeys(ranks, 2)
         self._parts: dict[bytes, tuple[bytes, bytes] | None | bool] = {}
         self._right: dict[bytes, list] = {}
         self._left: dict[bytes, list] = {}
         self._beside: dict[tuple[bytes, bytes], bool] = {}
-        self._ways: dict[bytes, list[bytes]] = {}
+        self._beside_older: dict[tuple[bytes, bytes], bool] = {}
 
     @classmethod
     def from_file(cls, path: str) -> PrefixEncoder:
@@ -100,6 +101,8 @@ class PrefixEncoder:
         """Whether encoding ``a + b`` gives ``a`` and ``b``."""
         key = (a, b)
         found = self._beside.get(key)
+        if found is None:
+            found = self._beside_older.get(key)
         if found is None:
             found = True
             ranks = self.ranks
@@ -112,34 +115,38 @@ class PrefixEncoder:
                         break
                 if not found:
                     break
-            if len(self._beside) > 250_000:
-                self._beside.clear()
-            self._beside[key] = found
+        if len(self._beside) >= CACHED_PAIRS // 2:
+            self._beside_older = dict(self._beside)
+            self._beside.clear()
+        self._beside[key] = found
         return found
 
     def extend(self, data: bytes, last: list[bytes], start: int = 0) -> list[bytes]:
         """Last tokens of all prefixes of ``data``; ``last[:start]`` is taken as it stands."""
         del last[start:]
-        ranks, tails, memory, beside, parts = self.ranks, self.tails, self._beside, self.beside, self._parts
+        kind, memory, beside = self.kind, self._beside, self.beside
         for i in range(start + 1, len(data) + 1):
-            for j in range(i - 1, max(-1, i - self.longest - 1), -1):
+            for j in range(i - 1, -1, -1):
                 t = data[j:i]
-                if t not in tails:
-                    raise ValueError(f"byte {data[i - 1]} has no token") if j == i - 1 else ValueError("no valid token")
-                if t in ranks:
-                    p = parts.get(t, 0)
-                    if p == 0:
-                        p = self.parts(t)
-                    if p is False:
+                k = kind.get(t)
+                if not k:
+                    if k is None:
+                        raise ValueError(f"no token ends at byte {i}")
+                    continue
+                if k == 2:
+                    kind[t] = k = 0 if self.parts(t) is False else 1
+                    if not k:
                         continue
-                    if j == 0:
-                        last.append(t)
-                        break
-                    before = last[j - 1]
-                    ok = memory.get((before, t))
-                    if ok if ok is not None else beside(before, t):
-                        last.append(t)
-                        break
+                if not j:
+                    last.append(t)
+                    break
+                before = last[j - 1]
+                ok = memory.get((before, t))
+                if ok or ok is None and beside(before, t):
+                    last.append(t)
+                    break
+            else:
+                raise ValueError(f"no valid token ends at byte {i}")
         return last
 
     def unroll(self, last: list[bytes]) -> list[int]:
@@ -178,21 +185,34 @@ class Prefixes:
         return [r] if r is not None else self.encoder.unroll(self.last)
 
 
-class PieceIds(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers, filled on demand."""
+class PieceMemory(dict):
+    """What ``of`` makes of a piece's ids, filled on demand and bounded."""
 
     def __init__(self, encoder: PrefixEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = array("I", self.encoder.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
-        if len(self) >= CACHED_PIECES:
+    def of(self, ids: list[int]):
+        raise NotImplementedError
+
+    def __missing__(self, piece: str):
+        found = self.older.get(piece)
+        if found is None:
+            found = self.of(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
+        if len(self) >= CACHED_PIECES // 2:
+            self.older = dict(self)
             self.clear()
         self[piece] = found
         return found
 
 
+class PieceIds(PieceMemory):
+    """Piece to its ids as little-endian unsigned 32-bit integers."""
+
+    def of(self, ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+
 @lru_cache(maxsize=2)
 def worker_encoder(path: str) -> tuple[PrefixEncoder, PieceIds]:
     encoder = PrefixEncoder.from_file(path)

@@ -22,25 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHED_PIECES, compiled, piece_pattern, tokenizer_file, worker_encoder
+from .bpe import PieceMemory, compiled, piece_pattern, tokenizer_file, worker_encoder
 from .common import map_arrow, rows_batch, table, texts_of
 
 LEAF = 32
 
 
-class PieceCounts(dict):
-    """Pre-token to its number of tokens, filled on demand."""
+class PieceCounts(PieceMemory):
+    """Pre-token to its number of tokens."""
 
-    def __init__(self, encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        self[piece] = n
-        return n
+    def of(self, ids: list[int]) -> int:
+        return len(ids)
 
 
 @lru_cache(maxsize=2)
