@@ -188,6 +188,8 @@ class Prefixes:
 class PieceMemory(dict):
     """What ``of`` makes of a piece's ids, filled on demand and bounded."""
 
+    most = CACHED_PIECES
+
     def __init__(self, encoder: PrefixEncoder):
         super().__init__()
         self.encoder, self.older = encoder, {}
@@ -199,7 +201,7 @@ class PieceMemory(dict):
         found = self.older.get(piece)
         if found is None:
             found = self.of(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
-        if len(self) >= CACHED_PIECES // 2:
+        if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()
         self[piece] = found

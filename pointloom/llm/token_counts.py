@@ -29,7 +29,9 @@ LEAF = 32
 
 
 class PieceCounts(PieceMemory):
-    """Pre-token to its number of tokens."""
+    """Pre-token to its number of tokens: small numbers, so more of them are remembered."""
+
+    most = 1_000_000
 
     def of(self, ids: list[int]) -> int:
         return len(ids)
