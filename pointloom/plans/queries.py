@@ -87,8 +87,10 @@ def projpipeline(spark, d):
 
 @query(f"SELECT pid, round(X, 6) AS along, round(Y, 6) AS across, round(Z, 6) AS up FROM {EVENT} WHERE X BETWEEN 0 AND 1000")
 def straighten(spark, d):
-    line = [(0.0, 0.0, 0.0, 0.0), (500.0, 0.0, 0.0, 0.0), (1000.0, 0.0, 0.0, 0.0)]
-    return pointwise.straighten(clouds.event(spark, d).where("X BETWEEN 0 AND 1000"), line).select("pid", r6("X", "along"), r6("Y", "across"), r6("Z", "up"))
+    df = clouds.event(spark, d)
+    ends = df.agg(F.least(F.lit(0.0), F.min("X")).alias("low"), F.greatest(F.lit(1000.0), F.max("X")).alias("high")).first()
+    line = [(ends.low, 0.0, 0.0, 0.0), (500.0, 0.0, 0.0, 0.0), (ends.high, 0.0, 0.0, 0.0)]
+    return pointwise.straighten(df, line, offset=ends.low).select("pid", r6("X", "along"), r6("Y", "across"), r6("Z", "up"))
 
 
 @query()
@@ -336,7 +338,7 @@ def gdal_bin(spark, d):
 @query(f"""SELECT col::INTEGER AS col, row::INTEGER AS row, count(*)::DOUBLE AS count, round(avg(Z), 6) AS mean, round(coalesce(min(CASE WHEN dd = 0 THEN Z END), sum(CASE WHEN dd > 0 THEN Z / dd END) / sum(CASE WHEN dd > 0 THEN 1 / dd END)), 6) AS idw
 FROM (SELECT col, row, Z, sqrt(pow(X - (col + 0.5) * 4, 2) + pow(Y - (row + 0.5) * 4, 2)) AS dd FROM {EVENT}, range(0, 60) a(col), range(0, 12) b(row)) WHERE dd < 4 * sqrt(2) GROUP BY ALL""")
 def gdal_radius(spark, d):
-    r = aggregate.rasterize(clouds.event(spark, d), 4.0, output_type=["count", "mean", "idw"], origin=(0.0, 0.0)).where("col < 60 AND row < 12")
+    r = aggregate.rasterize(clouds.event(spark, d), 4.0, output_type=["count", "mean", "idw"], origin=(0.0, 0.0))
     return r.select("col", "row", "count", r6("mean"), r6("idw"))
 
 
