@@ -344,8 +344,7 @@ def gdal_radius(spark, d):
 
 @query()
 def gdal_window(spark, d):
-    df = clouds.event(spark, d).where("X % 3 = 0")
-    return aggregate.rasterize(df, 1.0, binmode=True, output_type=["mean"], window_size=2, origin=(0.0, 0.0)).select("col", "row", F.round(F.col("mean") + 1e-7, 3).alias("mean"))
+    return aggregate.rasterize(clouds.event(spark, d), 1.0, binmode=True, output_type=["mean"], window_size=2, origin=(0.0, 0.0)).select("col", "row", F.round(F.col("mean") + 1e-7, 3).alias("mean"))
 
 
 @query()
@@ -504,7 +503,7 @@ for _name, _fn, _columns in (
 @query()
 def m3c2(spark, d):
     df = clouds.vector(spark, d)
-    out = neighbors.m3c2(df.where("pid % 2 = 0"), df.where("pid % 2 = 1"), df.where("pid % 5 = 0"), 0.2, 0.15, 0.3)
+    out = neighbors.m3c2(df.where("pid % 2 = 0"), df.where("pid % 2 = 1"), df, 0.2, 0.15, 0.3)
     return out.select("pid", r6("m3c2_distance"), r6("m3c2_uncertainty"), "m3c2_count1", "m3c2_count2")
 
 
@@ -637,7 +636,8 @@ l AS (SELECT unnest([0, 1, 2, 3]) AS label), c AS (SELECT label, count(*) FILTER
 SELECT label::INTEGER AS label, (tp + fn)::BIGINT AS support, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS iou, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision FROM c""")
 def evaluation(spark, d):
     df = clouds.vector(spark, d)
-    per, _ = apps.evaluate(df.where("pid % 2 = 0"), df.where("pid % 2 = 1"), [0, 1, 2, 3])
+    labels = sorted(r[0] for r in df.select("Classification").distinct().where("Classification IS NOT NULL").collect())
+    per, _ = apps.evaluate(df.where("pid % 2 = 0"), df.where("pid % 2 = 1"), labels)
     return per.select("label", "support", r6("iou"), r6("precision"))
 
 

@@ -36,3 +36,40 @@ def test_gdal_radius_returns_every_cell(spark, events):
                     want[col, row].append(z)
     got = {(r.col, r.row): (r["count"], r["mean"]) for r in QUERIES["gdal_radius"](spark, folder).collect()}
     assert got == {k: (len(v), round(sum(v) / len(v), 6)) for k, v in want.items()}
+
+
+def test_gdal_window_takes_every_event(spark, events):
+    folder, points = events
+    held = defaultdict(list)
+    for x, y, z in points:
+        held[int(x), int(y)].append(z)
+    mean = {k: sum(v) / len(v) for k, v in held.items()}
+    want = dict(mean)
+    right, top = (max(k[i] for k in mean) for i in range(2))
+    around = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a or b]
+    for cell in {(c + a, r + b) for c, r in mean for a, b in around} - set(mean):
+        if 0 <= cell[0] <= right and 0 <= cell[1] <= top:
+            near = [(mean[k], 1 / max(abs(a), abs(b))) for a, b in around if (k := (cell[0] + a, cell[1] + b)) in mean]
+            want[cell] = sum(m * w for m, w in near) / sum(w for _, w in near)
+    got = {(r.col, r.row): r["mean"] for r in QUERIES["gdal_window"](spark, folder).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """A folder with an embeddings table of ten labels, the last row's null."""
+    folder = str(tmp_path_factory.mktemp("vectors"))
+    rows = [(i, [i // 2 * 0.01, i % 4 * 0.02, 0.0], i // 2 % 10) for i in range(60)] + [(60, [0.0, 0.0, 0.0], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def test_m3c2_takes_every_point_as_core(spark, vectors):
+    got = QUERIES["m3c2"](spark, vectors).collect()
+    assert sorted(r.pid for r in got) == list(range(61))
+    assert all(r.m3c2_distance is not None for r in got)
+
+
+def test_evaluation_has_every_label(spark, vectors):
+    got = {r.label: r.support for r in QUERIES["evaluation"](spark, vectors).collect()}
+    assert set(got) == set(range(10)) and sum(got.values()) == 31  # one for each row of an even pid
