@@ -13,7 +13,7 @@ again for the comparison.
 
 Edges: null texts have no words; items without words have no windows; rows of
 one id with different texts are judged apart, repeated rows alike; a null id is
-an id of its own; extra columns are unused.
+an id of its own, of documents and of items (it counts in n_items); extra columns are unused.
 """
 
 from __future__ import annotations
@@ -59,6 +59,11 @@ def _rarest(windows: DataFrame, docs_words: DataFrame, small: bool) -> DataFrame
     return materialize(prefixes)
 
 
+def _gathered(collect, value: Column) -> Column:
+    """The values, nulls among them, which collect_set and collect_list alone leave out."""
+    return F.transform(collect(F.struct(value.alias("v"))), lambda x: x["v"])
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Occurrences of benchmark windows: id, h (hash of the text), begin (0-based word), len, item."""
     windows = materialize(item_windows(benchmark, window))
@@ -76,15 +81,15 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
         candidates = at.join(prefixes, "word").where(fits).select("id", "h", "w", begin)
         found = candidates.alias("c").join(words.dropDuplicates(["id", "h"]).alias("d"), F.col("c.id").eqNullSafe(F.col("d.id")) & (F.col("c.h") == F.col("d.h"))).select("c.id", "c.h", "d.all", "c.w", "c.begin").where(same)
     found = found.select("id", "h", "begin", "w")
-    items = windows.groupBy("w").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
+    items = windows.groupBy("w").agg(_gathered(F.collect_set, F.col("item").cast("string")).alias("items"))
     return found.join(F.broadcast(items) if small else items, "w").select("id", "h", "begin", F.size("w").alias("len"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of ``docs``: key, n_words, n_hit, n_items, items (sorted strings), contaminated."""
+    """A row per row of ``docs``: key, n_words, n_hit, n_items, items (sorted strings; a null id first), contaminated."""
     found = materialize(find_windows(docs, benchmark, window, key, text))
     spots = found.select("id", "h", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("len") - 1)).alias("at")).distinct().groupBy("id", "h").agg(F.count("*").alias("n_hit"))
-    items = found.select("id", "h", F.explode("items").alias("item")).distinct().groupBy("id", "h").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    items = found.select("id", "h", F.explode("items").alias("item")).distinct().groupBy("id", "h").agg(F.sort_array(_gathered(F.collect_list, F.col("item"))).alias("items"))
     hits = spots.withColumnsRenamed({"id": "sid", "h": "sh"}).join(items, F.col("sid").eqNullSafe(F.col("id")) & (F.col("sh") == F.col("h"))).select("sid", "sh", "n_hit", "items")
     own = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"))
     return own.join(hits, F.col("id").eqNullSafe(F.col("sid")) & (F.col("h") == F.col("sh")), "left").select(

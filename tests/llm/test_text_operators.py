@@ -222,6 +222,24 @@ def test_odd_documents_and_items(spark, nasty):
     assert kept.columns == nasty.columns and kept.count() == nasty.count() - 2
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_items_with_a_null_id_count(spark, monkeypatch, broadcast):
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", broadcast)
+    items = [(None, "alpha beta gamma"), (None, "delta epsilon"), (3, "delta epsilon"), (4, "zeta")]
+    docs = [(1, "x alpha beta gamma y"), (2, "delta epsilon zeta"), (3, "alpha beta gamma delta epsilon"), (4, "zeta"), (5, "none of them")]
+    tables = {"documents": (docs, "doc_id long, text string"), "benchmark": (items, "item_id long, text string")}
+    frames = {n: spark.createDataFrame(*t) for n, t in tables.items()}
+    monkeypatch.setattr(decontam, "table", lambda spark, folder, name: frames[name])
+    con = duckdb.connect()
+    for (name, (rows, _)), columns in zip(tables.items(), ("doc_id BIGINT, text VARCHAR", "item_id BIGINT, text VARCHAR"), strict=True):
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    got = sorted(tuple(r) for r in decontam.op9_decontamination(spark, "").collect())
+    assert got == sorted(con.execute(decontam.OP9_SQL).fetchall())
+    assert [(r[2], r[3], r[5]) for r in got] == [(3, 1, True), (3, 3, True), (5, 2, True), (1, 1, True), (0, 0, False)]
+
+
 def base_spans(x):
     x = x or ""
     sp = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN.replace("(?i)", ""), x, re.I | re.A) if len(m[2]) >= 12]
