@@ -381,8 +381,8 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row per row of ``docs``: key, n_shingles, component_id (the smallest key that links reach)."""
+def _rows(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """A row per row of ``docs``: id, sid (set hash), n, component (the smallest id that links reach) and root (a set hash that tells components apart)."""
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST_ID)).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -435,25 +435,51 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     least = first.join(roots.select(F.col("node").alias("sid"), "root"), "sid")
     best = least.groupBy("root").agg(F.min("id").alias("component"))
-    linked = least.join(best, "root").select("sid", "component")
-    known = materialize(first.where("k > 1").select("sid", F.col("id").alias("own")).join(linked, "sid", "full").select("sid", F.coalesce("component", "own").alias("component")))
-    out = sets.join(known, "sid", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
+    linked = least.join(best, "root").select("sid", "component", "root")
+    known = materialize(first.where("k > 1").select("sid", F.col("id").alias("own")).join(linked, "sid", "full").select("sid", F.coalesce("component", "own").alias("component"), F.coalesce("root", "sid").alias("root")))
+    own = F.when(F.col("n") > 0, F.col("component"))
+    return sets.join(known, "sid", "left").select("id", "sid", "n", F.coalesce(own, "id").alias("component"), F.coalesce("root", "sid").alias("root"))
+
+
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """A row per row of ``docs``: key, n_shingles, component_id (the smallest key that links reach)."""
 
-    def shown(c):
-        return F.when(c != FIRST_ID, c).cast(docs.schema[key].dataType)
+    def shown(c: str):
+        return F.when(F.col(c) != FIRST_ID, F.col(c)).cast(docs.schema[key].dataType)
 
-    return out.select(shown(F.col("id")).alias(key), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "id")).alias("component_id"))
+    return _rows(docs, key, text, size, percent).select(shown("id").alias(key), F.col("n").alias("n_shingles"), shown("component").alias("component_id"))
+
+
+def _set_hashes(texts: DataFrame, size: int) -> DataFrame:
+    """id, h and sid of rows of id, h (hash of the text) and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids = np.zeros(batch.num_rows, np.int64)
+            for i, x in shingle_sets(texts_of(batch.column(2)), size):
+                sids[i] = set_hash(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids)], names=["id", "h", "sid"])
+
+    return map_arrow(texts, run, "id long, h long, sid long")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component of near copies: that of the smallest id."""
-    found = materialize(similar_components(docs, key, text))
-    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone"))
+    """One row of each component of near copies: of the smallest id, and of its sets there the one of the smallest hash.
+
+    Rows are told apart by id and text: other rows of an id (null included) stay. Of rows without words, one of each id stays.
+    """
+    found = materialize(_rows(docs, key, text, SHINGLE, PERCENT))
     columns = docs.columns
-    kept = docs.join(_small(gone), F.col(f"`{key}`").eqNullSafe(F.col("gone")), "left_anti")
-    if not found.groupBy(key).count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(FIRST_ID)).alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    if found.groupBy("id").count().where("count > 1").isEmpty():
+        kept = whole.join(_small(found.where("id != component").select("id")), "id", "left_anti")
+    else:
+        best = found.where("n > 0").groupBy("root").agg(F.min(F.struct("id", "sid")).alias("f")).select("f.id", "f.sid")
+        sets = best.unionByName(found.where("n = 0").select("id", "sid").distinct())
+        whole = whole.withColumn("h", F.xxhash64("t"))
+        chosen = _set_hashes(whole.select("id", "h", "t"), SHINGLE).join(sets, ["id", "sid"]).groupBy("id", "sid").agg(F.min("h").alias("h")).select("id", "h")
+        kept = whole.join(_small(materialize(chosen)), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return kept.select(*[F.col(f"whole.`{c}`").alias(c) for c in columns])
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

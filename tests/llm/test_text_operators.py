@@ -95,6 +95,18 @@ def test_odd_documents_have_components(spark, nasty):
     assert kept.columns == nasty.columns and kept.where("doc_id = 4").count() == 1
 
 
+def test_keep_first_decides_by_row(spark):
+    """Ids that repeat or are null: a row goes only if a near copy of its own text stays."""
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, b), (None, near(b)), (None, b), (1, c), (2, near(c)), (2, d), (7, near(d)), (7, e), (8, near(a)), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(x) for x in jaccard.keep_first(df).collect()]
+    assert len(kept) == 6 and {(None, a), (1, c), (2, d), (7, e)} <= set(kept)
+    assert len({(None, b), (None, near(b))} & set(kept)) == 1 and len([i for i, _ in kept if i == 9]) == 1
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
