@@ -112,12 +112,12 @@ def _markov(text: str, ratios: list[float]) -> str:
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], text: str = "text", base: str = "base_spans", added: str = "added_spans") -> DataFrame:
-    """``docs`` with its base spans, and the added ones that overlap none of them (arrays of struct s, k, e in order)."""
+    """``docs`` with its base spans, and the added ones that lie inside none of them (arrays of struct s, k, e in order)."""
     columns = docs.columns
     t = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     t = t.withColumns({f"b{k}": F.expr(spans_of("t", *rule, k, hint)) for k, (rule, hint) in enumerate(zip(BASE, HINTS, strict=True))} | {"m": F.expr(_markov("t", ratios))})
     t = t.withColumn("b", F.expr("array_sort(concat(b0, b1, b2))"))
-    t = t.withColumn("a", F.expr("filter(m, x -> not exists(b, y -> x.s < y.e and y.s < x.e))"))
+    t = t.withColumn("a", F.expr("filter(m, x -> not exists(b, y -> y.s <= x.s and x.e <= y.e))"))
     return t.select(*[F.col(f"whole.`{c}`").alias(c) for c in columns], F.col("b").alias(base), F.col("a").alias(added))
 
 
