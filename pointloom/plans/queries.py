@@ -85,7 +85,7 @@ def projpipeline(spark, d):
     return pointwise.projpipeline(clouds.event(spark, d), "+proj=pipeline +step +proj=affine +s11=0.5 +yoff=-3").select("pid", r6("X", "x"), r6("Y", "y"))
 
 
-@query(f"SELECT pid, round(X, 6) AS along, round(Y, 6) AS across, round(Z, 6) AS up FROM {EVENT} WHERE X BETWEEN 0 AND 1000")
+@query(f"SELECT pid, round(X, 6) AS along, round(Y, 6) AS across, round(Z, 6) AS up FROM {EVENT}")
 def straighten(spark, d):
     df = clouds.event(spark, d)
     ends = df.agg(F.least(F.lit(0.0), F.min("X")).alias("low"), F.greatest(F.lit(1000.0), F.max("X")).alias("high")).first()
@@ -336,7 +336,7 @@ def gdal_bin(spark, d):
 
 
 @query(f"""SELECT col::INTEGER AS col, row::INTEGER AS row, count(*)::DOUBLE AS count, round(avg(Z), 6) AS mean, round(coalesce(min(CASE WHEN dd = 0 THEN Z END), sum(CASE WHEN dd > 0 THEN Z / dd END) / sum(CASE WHEN dd > 0 THEN 1 / dd END)), 6) AS idw
-FROM (SELECT col, row, Z, sqrt(pow(X - (col + 0.5) * 4, 2) + pow(Y - (row + 0.5) * 4, 2)) AS dd FROM {EVENT}, range(0, 60) a(col), range(0, 12) b(row)) WHERE dd < 4 * sqrt(2) GROUP BY ALL""")
+FROM (SELECT col, row, Z, sqrt(pow(X - (col + 0.5) * 4, 2) + pow(Y - (row + 0.5) * 4, 2)) AS dd FROM (SELECT *, unnest(range(greatest(0, floor(X / 4)::BIGINT - 2), floor(X / 4)::BIGINT + 3)) AS col FROM {EVENT}), (SELECT unnest(range(-2, 3)) AS up), LATERAL (SELECT floor(Y / 4)::BIGINT + up AS row) WHERE row >= 0) WHERE dd < 4 * sqrt(2) GROUP BY ALL""")
 def gdal_radius(spark, d):
     r = aggregate.rasterize(clouds.event(spark, d), 4.0, output_type=["count", "mean", "idw"], origin=(0.0, 0.0))
     return r.select("col", "row", "count", r6("mean"), r6("idw"))
@@ -632,7 +632,7 @@ def delta(spark, d):
 
 
 @query(f"""WITH n AS (SELECT a.Classification AS p, arg_min(b.Classification, pow(a.X - b.X, 2) + pow(a.Y - b.Y, 2) + pow(a.Z - b.Z, 2)) AS t FROM {VECTOR} a, {VECTOR} b WHERE a.pid % 2 = 0 AND b.pid % 2 = 1 GROUP BY a.pid, a.Classification),
-l AS (SELECT unnest([0, 1, 2, 3]) AS label), c AS (SELECT label, count(*) FILTER (t = label AND p = label) AS tp, count(*) FILTER (t <> label AND p = label) AS fp, count(*) FILTER (t = label AND p <> label) AS fn FROM l, n GROUP BY label)
+l AS (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL), c AS (SELECT label, count(*) FILTER (t = label AND p = label) AS tp, count(*) FILTER (t <> label AND p = label) AS fp, count(*) FILTER (t = label AND p <> label) AS fn FROM l, n GROUP BY label)
 SELECT label::INTEGER AS label, (tp + fn)::BIGINT AS support, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) AS iou, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision FROM c""")
 def evaluation(spark, d):
     df = clouds.vector(spark, d)
@@ -664,7 +664,7 @@ def faux_ramp(spark, d):
 SQL["faux_ramp"] = "SELECT i::BIGINT AS pid, round(10 + i * (90.0 / 999), 6)::DOUBLE AS x FROM range(0, 1000) t(i)"
 
 
-SQL["gdal_window"] = f"""WITH b AS (SELECT floor(X)::INTEGER AS col, floor(Y)::INTEGER AS row, avg(Z) AS mean FROM {EVENT} WHERE X % 3 = 0 GROUP BY ALL),
+SQL["gdal_window"] = f"""WITH b AS (SELECT floor(X)::INTEGER AS col, floor(Y)::INTEGER AS row, avg(Z) AS mean FROM {EVENT} GROUP BY ALL),
 n AS (SELECT b.col + dc AS col, b.row + dr AS row, mean, 1.0 / greatest(abs(dc), abs(dr)) AS w FROM b, range(-2, 3) x(dc), range(-2, 3) y(dr) WHERE dc <> 0 OR dr <> 0),
 f AS (SELECT col, row, sum(mean * w) / sum(w) AS mean FROM n WHERE col BETWEEN 0 AND (SELECT max(col) FROM b) AND row BETWEEN 0 AND (SELECT max(row) FROM b) AND NOT EXISTS (SELECT 1 FROM b WHERE b.col = n.col AND b.row = n.row) GROUP BY ALL)
 SELECT col::INTEGER AS col, row::INTEGER AS row, round(mean + 1e-7, 3) AS mean FROM (SELECT * FROM b UNION ALL SELECT * FROM f)"""
