@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,10 +10,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..ship import ship
 
-#: Rows in an Arrow batch. Texts can be long, so batches hold few rows; memory
-#: of a Python worker is this many texts and what is derived from them.
+#: Rows that a function gets at once. Spark bounds its Arrow batches by rows and bytes (64 MB unless the session says
+#: otherwise); a worker holds one of them, and what is derived from so many of its texts.
 BATCH_ROWS = 1000
 
 
@@ -26,14 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session has no such setting (tests on one machine) a folder of
-    this process is made and set.
+    Where a session on one machine (tests) has no such setting, a folder of
+    this process is made and set; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pointloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
+    return scratch.scratch_dir(spark)
 
 
 #: Bytes of a file that ``materialize`` aims at: small tables become few files, whatever the number of tasks that made them.
@@ -71,11 +66,15 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "") if column.null_count else column
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of ``BATCH_ROWS`` rows."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int | None = None) -> DataFrame:
+    """``mapInArrow``, the function getting at most ``rows`` (``BATCH_ROWS``) rows at once; the session's settings stay as they are."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    most = rows or BATCH_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, most) for b in batches for at in range(0, b.num_rows, most))
+
+    return df.mapInArrow(run, schema)
 
 
 def rows_batch(names: list[str], columns: list, types: list) -> pa.RecordBatch:

@@ -48,6 +48,8 @@ FREQUENT_LEAST, FREQUENT_MOST, LOCAL_LEAST = 64, 1 << 20, 4
 #: Shingles that a task holds at once, in counting and in a chunk of a cluster; documents that all chunks of a cluster share.
 HELD, CHUNK, HUBS = 2_000_000, 1_000_000, 8
 BROADCAST_ROWS = 1_000_000
+#: Rows of numbers that a function gets at once.
+WIDE = 100_000
 FIRST_ID = -(2**63)
 
 
@@ -190,11 +192,6 @@ def _prefixes(docs: DataFrame, order, part: int, size: int, percent: int) -> Dat
     return map_arrow(docs, run, "token long, node long, n int")
 
 
-def _wide(df: DataFrame, run, schema: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    return df.mapInArrow(run, schema)
-
-
 def _met(tokens: DataFrame) -> DataFrame:
     """node and how many of its tokens other nodes have too. Sorted rows are read as a stream: no token is gathered."""
 
@@ -223,7 +220,7 @@ def _met(tokens: DataFrame) -> DataFrame:
                 nodes, counts = np.unique(s[out], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts.astype(np.int64))], names=["node", "c"])
 
-    return _wide(tokens.select("token", "node").repartition("token").sortWithinPartitions("token", "node"), run, "node long, c long").groupBy("node").agg(F.sum("c").alias("c"))
+    return map_arrow(tokens.select("token", "node").repartition("token").sortWithinPartitions("token", "node"), run, "node long, c long", WIDE).groupBy("node").agg(F.sum("c").alias("c"))
 
 
 def _leads(tokens: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +253,7 @@ def _leads(tokens: DataFrame, percent: int) -> DataFrame:
             if len(node):
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(head), pa.array(size.astype(np.int32))], names=["node", "head", "n"])
 
-    made = _wide(tokens.repartition("token").sortWithinPartitions("token", "n", "node"), run, "node long, head long, n int")
+    made = map_arrow(tokens.repartition("token").sortWithinPartitions("token", "n", "node"), run, "node long, head long, n int", WIDE)
     return made.groupBy("node", "head").agg(F.max("n").alias("n"), F.count("*").alias("c"))
 
 
