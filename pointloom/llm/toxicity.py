@@ -7,13 +7,16 @@ predictions, so that a later model learns from errors such as it will meet.
 
 The chain is fitted on a bounded sample of the labelled rows (``SAMPLE``, the
 smallest hashes of their ids); the word statistics that choose its vocabulary
-are those of the sample. Scoring reads every whole text once, without a shuffle.
+are those of the sample, whose texts are split into words once, as in scoring.
+Scoring reads every whole text once, without a shuffle.
 
 Edges: a null or empty text has no words and scores the chain's base rates; a
 label row with a null category is left out; several label rows of one id count as
 the largest labels; labels of unknown ids are unused; without labels, or where a
-category has one value only, its probability is that share (0.0 without rows).
-Extra columns are kept by ``score`` and unused.
+category has one value only, its probability is that share (0.0 without rows); of
+several documents of a labelled id the least text is learned from. Extra columns are
+kept and unused; ``score`` puts its own columns in the place of those of their names,
+``drop_toxic`` keeps every column as it is.
 """
 
 from __future__ import annotations
@@ -157,23 +160,25 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][at] + below) / 2)
 
 
-def _features(text: str) -> Column:
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    longer = F.transform(F.filter(words, lambda w: F.length(w) > BEGINNING), lambda w: F.concat(F.substring(w, 1, BEGINNING), F.lit("*")))
-    return F.array_union(words, longer)
-
-
 def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """Fit on at most ``sample`` labelled documents; only their word numbers and labels come to the driver."""
     names = [n for n, _ in categories]
     y = [F.max(F.expr(e)).cast("double").alias(f"_y{i}") for i, (_, e) in enumerate(categories)]
     chosen = labels.groupBy(F.col(key).alias("_key")).agg(*y).dropna().orderBy(F.xxhash64("_key"), "_key").limit(sample)
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
-    rows = rows.dropDuplicates(["_key"]).persist()
+    texts = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
+    first = texts.join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.min("_text").alias("_text"), *[F.first(f"_y{i}").alias(f"_y{i}") for i in range(len(names))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(words_of(t.as_py())) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.list_(pa.string()))], names=["_key", *batch.schema.names[2:], "w"])
+
+    kind = dict(first.dtypes)["_key"]
+    rows = map_arrow(first, split, f"_key {kind}, " + ", ".join(f"_y{i} double" for i in range(len(names))) + ", w array<string>").persist()
     try:
         total = rows.agg(F.count("*"), *[F.sum(f"_y{i}") for i in range(len(names))]).first()
         n = total[0]
-        said = rows.select(*[f"_y{i}" for i in range(len(names))], F.explode(_features("_text")).alias("w")).where("w != ''")
+        said = rows.select(*[f"_y{i}" for i in range(len(names))], F.explode("w").alias("w"))
         counts = said.groupBy("w").agg(F.count("*").alias("n"), *[F.sum(f"_y{i}").alias(f"s{i}") for i in range(len(names))]).where("n >= 4")
         z = []
         for i in range(len(names)):
@@ -186,12 +191,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, key: st
 
         def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [sorted(vocabulary[w] for w in words_of(t.as_py()) if w in vocabulary) for t in texts_of(batch.column(0))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names[1:], "w"])
+                found = [sorted(vocabulary[w] for w in ws if w in vocabulary) for ws in batch.column(len(names) + 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names=batch.schema.names)
 
-        columns = ["_key", *[f"_y{i}" for i in range(len(names))]]
-        kind = dict(rows.dtypes)["_key"]
-        data = map_arrow(rows.select("_text", *columns), numbered, f"_key {kind}, " + ", ".join(f"_y{i} double" for i in range(len(names))) + ", w array<int>").toArrow().sort_by("_key")
+        data = map_arrow(rows, numbered, f"_key {kind}, " + ", ".join(f"_y{i} double" for i in range(len(names))) + ", w array<int>").toArrow().sort_by("_key")
     finally:
         rows.unpersist()
     found = data.column("w").to_pylist()
@@ -210,8 +213,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, key: st
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """``docs`` with a probability ``p_<category>`` and a decision ``is_<category>`` of each category."""
+def _judged(docs: DataFrame, chain: Chain, text: str) -> tuple[DataFrame, list[str]]:
+    """Columns c0, c1, ... (those of ``docs``, whose names are also returned), p0, ... and d0, ... (probability and decision of each category)."""
     columns = docs.columns
     inside = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     at = columns.index(text)
@@ -224,14 +227,21 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[f"p{i}" for i in range(p.shape[1])], *[f"d{i}" for i in range(p.shape[1])]])
 
     schema = ", ".join([*[f"c{i} {k}" for i, (_, k) in enumerate(docs.dtypes)], *[f"p{i} double" for i in range(len(chain.names))], *[f"d{i} boolean" for i in range(len(chain.names))]])
-    out = map_arrow(inside, run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *[F.col(f"p{i}").alias(f"p_{n}") for i, n in enumerate(chain.names)], *[F.col(f"d{i}").alias(f"is_{n}") for i, n in enumerate(chain.names)])
+    return map_arrow(inside, run, schema), columns
+
+
+def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """``docs`` with a probability ``p_<category>`` and a decision ``is_<category>`` of each category."""
+    out, columns = _judged(docs, chain, text)
+    made = {f"{m}_{n}": F.col(f"{k}{i}") for k, m in (("p", "p"), ("d", "is")) for i, n in enumerate(chain.names)}
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c not in made], *[v.alias(n) for n, v in made.items()])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the chain does not reject, with their own columns alone."""
-    scored = score(docs, fit_chain(docs, labels))
-    return scored.where(~F.col(f"is_{REJECT}")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chain = fit_chain(docs, labels)
+    out, columns = _judged(docs, chain, "text")
+    return out.where(~F.col(f"d{chain.names.index(REJECT)}")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
