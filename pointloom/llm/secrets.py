@@ -4,7 +4,8 @@ Patterns give base spans (kinds assign, access, hex). Beside them, long runs of
 key-like characters are compared by log-likelihood ratio under two character
 Markov models, of random strings and of ordinary identifiers, trained from
 labelled samples; runs that are far likelier under the first are spans of kind
-markov. Spans are in code points, end exclusive.
+markov. Spans are in code points, end exclusive. The labelled samples of ordinary
+identifiers are words of documents; those of random strings are generated.
 
 Offsets come from the texts between matches: splitting by a pattern gives the
 gaps to the matches, and running sums of both lengths give where each begins.
@@ -47,15 +48,35 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Matches that are walked at once: building a list by appending costs the square of its length, so long lists are built in blocks.
+WALKED = 256
+SPAN_LIST = "array<struct<s:int,k:int,e:int>>"
+
+
+def walked(text: str, pattern: str, kind: int, wanted: str) -> str:
+    """SQL for the spans of the matches ``m`` of ``pattern`` in the column ``text`` that are ``wanted`` (a condition on m), in order.
+
+    Each match is met with the gap before it. Blocks of matches give spans from their own
+    beginning; the blocks' lengths, summed up, move them to their place.
+    """
+    none = f"cast(array() as {SPAN_LIST})"
+    pairs = f"arrays_zip(transform(slice(split({text}, {_q(pattern)}, -1), 1, size(f)), x -> char_length(x)), f)"
+    block = f"""aggregate(slice(z, b * {WALKED} + 1, {WALKED}), named_struct('at', 0, 'out', {none}),
+      (a, x) -> named_struct('at', a.at + x.`0` + char_length(x.f),
+        'out', if(element_at(transform(array(x.f), m -> {wanted}), 1), concat(a.out, array(named_struct('s', a.at + x.`0`, 'k', {kind}, 'e', a.at + x.`0` + char_length(x.f)))), a.out)))"""
+    blocks = f"transform(sequence(0, (size(z) - 1) div {WALKED}), b -> {block})"
+    starts = "aggregate(w, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x.at)))"
+    moved = "flatten(transform(arrays_zip(w, slice(o, 1, size(w))), x -> transform(x.w.out, y -> named_struct('s', y.s + x.`1`, 'k', y.k, 'e', y.e + x.`1`))))"
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    inner = let(pairs, "z", let(blocks, "w", let(starts, "o", moved)))
+    return let(f"regexp_extract_all({text}, {_q(pattern)}, 0)", "f", f"CASE WHEN size(f) = 0 THEN {none} ELSE {inner} END")
+
+
 def spans_of(text: str, pattern: str, group: int, least: int, kind: int, hint: str | None = None) -> str:
-    """SQL for the spans (array of struct s, k, e) of ``pattern`` in the column ``text``, in order."""
-    sized = f"transform(regexp_extract_all({text}, {_q(pattern)}, {group}), x -> char_length(x))"
-    pairs = f"arrays_zip(slice(transform(split({text}, {_q(pattern)}, -1), x -> char_length(x)), 1, cardinality(regexp_extract_all({text}, {_q(pattern)}, 0))), transform(regexp_extract_all({text}, {_q(pattern)}, 0), x -> char_length(x)), {sized})"
-    none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
-    walk = f"""aggregate({pairs}, named_struct('at', 0, 'out', {none}),
-      (a, x) -> named_struct('at', a.at + x.`0` + x.`1`, 'out', if(x.`2` >= {least}, concat(a.out, array(named_struct('s', a.at + x.`0`, 'k', {kind}, 'e', a.at + x.`0` + x.`1`))), a.out)),
-      a -> a.out)"""
-    return f"CASE WHEN {text} RLIKE {_q(hint)} THEN {walk} ELSE {none} END" if hint else walk
+    """SQL for the spans (array of struct s, k, e) of ``pattern`` whose group is long enough, in order."""
+    sized = f"char_length(regexp_extract(m, {_q(pattern)}, {group}))" if group else "char_length(m)"
+    walk = walked(text, pattern, kind, f"{sized} >= {least}")
+    return f"CASE WHEN {text} RLIKE {_q(hint)} THEN {walk} ELSE cast(array() as {SPAN_LIST}) END" if hint else walk
 
 
 def labelled_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, random: int = SAMPLE_RANDOM) -> DataFrame:
@@ -103,22 +124,18 @@ def _markov(text: str, ratios: list[float]) -> str:
     codes = f"transform(split(x, ''), c -> instr('{ALPHABET}', c))"
     pair = f"{weights}[(p[i - 1] - 1) * {size} + p[i] - 1]"
     ratio = f"aggregate(array({codes}), 0D, (z, p) -> aggregate(sequence(1, size(p) - 1), 0D, (a, i) -> a + if(p[i - 1] > 0 and p[i] > 0, {pair}, 0D)))"
-    m = f"regexp_extract_all({text}, {_q(run)}, 0)"
-    pairs = f"arrays_zip(slice(transform(split({text}, {_q(run)}, -1), x -> char_length(x)), 1, cardinality({m})), transform({m}, x -> char_length(x)), transform({m}, x -> {ratio}))"
-    none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
-    return f"""CASE WHEN {text} RLIKE {_q(run)} THEN aggregate({pairs}, named_struct('at', 0, 'out', {none}),
-      (a, x) -> named_struct('at', a.at + x.`0` + x.`1`, 'out', if(x.`2` >= {MIN_RATIO!r}D, concat(a.out, array(named_struct('s', a.at + x.`0`, 'k', 3, 'e', a.at + x.`0` + x.`1`))), a.out)),
-      a -> a.out) ELSE {none} END"""
+    far = f"aggregate(array(m), 0D, (y, x) -> {ratio}) >= {MIN_RATIO!r}D"
+    return f"CASE WHEN {text} RLIKE {_q(run)} THEN {walked(text, run, 3, far)} ELSE cast(array() as {SPAN_LIST}) END"
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], text: str = "text", base: str = "base_spans", added: str = "added_spans") -> DataFrame:
-    """``docs`` with its base spans, and the added ones that lie inside none of them (arrays of struct s, k, e in order)."""
+    """``docs`` with its base spans, and the added ones that lie inside none of them (arrays of struct s, k, e in order), in the place of columns of their names."""
     columns = docs.columns
     t = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     t = t.withColumns({f"b{k}": F.expr(spans_of("t", *rule, k, hint)) for k, (rule, hint) in enumerate(zip(BASE, HINTS, strict=True))} | {"m": F.expr(_markov("t", ratios))})
     t = t.withColumn("b", F.expr("array_sort(concat(b0, b1, b2))"))
     t = t.withColumn("a", F.expr("filter(m, x -> not exists(b, y -> y.s <= x.s and x.e <= y.e))"))
-    return t.select(*[F.col(f"whole.`{c}`").alias(c) for c in columns], F.col("b").alias(base), F.col("a").alias(added))
+    return t.select(*[F.col(f"whole.`{c}`").alias(c) for c in columns if c not in (base, added)], F.col("b").alias(base), F.col("a").alias(added))
 
 
 def joined(spans: Column) -> Column:
