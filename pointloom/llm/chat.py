@@ -10,6 +10,11 @@ and roles a ``<`` before any backslashes and a ``|`` gets one more backslash,
 so neither can contain ``<|``; reading takes one away. Roles also escape
 backslashes and line ends.
 
+Turns are dealt by ranges of their whole order, so that a conversation of any
+length is rendered by several tasks; a part's number tells its task and place, and
+reading sorts by it, however the stored parts come. (The digest of a whole
+conversation is sequential by nature: its texts stream through one task, one part in memory.)
+
 Edges: null text and role are empty; a null turn comes first; equal turns are
 ordered by role, then text; a null conversation id is a conversation of its
 own; conversations come in parts of whole turns of about ``PART`` characters,
@@ -25,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import compiled, encode_text, piece_pattern, tokenizer_file, worker_encoder
-from .common import map_arrow, table
+from .common import map_arrow, store, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 PART = 4_000_000
@@ -90,12 +96,12 @@ _SPAN = [pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.
 def format_conversations(turns: DataFrame, ranks_file: str | None = None, pattern: str | None = None) -> DataFrame:
     """Rows (a part of a conversation each) with the text, token ids, masked token runs and masked byte spans.
 
-    Rows are dealt by conversation and sorted inside partitions, and read as a
-    stream: no conversation is gathered in memory.
+    Rows are dealt by ranges of conversation and turn, sorted inside partitions and read as a
+    stream: no conversation is gathered in memory or in one task.
     """
     path, pat = ranks_file or tokenizer_file(), pattern or piece_pattern()
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def made(conv, part: int, part_turns, encoder, pieces, find, sizes) -> tuple:
         data, spans = render(part_turns)
@@ -113,7 +119,8 @@ def format_conversations(turns: DataFrame, ranks_file: str | None = None, patter
         for r, b in encoder.bytes_of.items():
             sizes[r] = len(b)
         nothing = object()
-        conv, part, kept, chars, out, weight = nothing, 0, [], 0, [], 0
+        # partitions are ranges in order: parts of a conversation count on from its partition's number
+        conv, part, kept, chars, out, weight = nothing, TaskContext.get().partitionId() << 32, [], 0, [], 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), *_SPAN]
@@ -129,8 +136,7 @@ def format_conversations(turns: DataFrame, ranks_file: str | None = None, patter
                     if weight >= PART:
                         yield batch_of(out)
                         out, weight = [], 0
-                if new:
-                    conv, part = c, 0
+                conv = c
                 kept.append((role, text))
                 chars += len(text)
         if kept:
@@ -145,7 +151,7 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 
 def read_formatted(formatted: DataFrame) -> DataFrame:
-    """Turns and masked text read back from formatted parts, which come in order inside partitions."""
+    """Turns and masked text read back from formatted parts, in whatever order these are stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = object()
@@ -180,14 +186,15 @@ def read_formatted(formatted: DataFrame) -> DataFrame:
             close()
             yield batch_of()
 
-    return map_arrow(formatted.select("conv_id", "formatted", "loss_spans"), run, READ)
+    rows = formatted.select("conv_id", "part", "formatted", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return map_arrow(rows.select("conv_id", "formatted", "loss_spans"), run, READ)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_formatted(format_conversations(turns.unionByName(extra)))
+    return read_formatted(store(format_conversations(turns.unionByName(extra))))
 
 
 OP6_SQL = r"""

@@ -78,6 +78,17 @@ def test_small_payloads_may_stay(spark, tmp_path):
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_archives_in_many_blocks(spark, tmp_path, monkeypatch):
+    """Members that reach over what a reader takes at once, blocks and files of few records."""
+    for name, value in (("BLOCK", 300), ("BLOCKS_PER_FILE", 2), ("CHUNK", 100), ("HANDED", 3)):
+        monkeypatch.setattr(warc, name, value)
+    text = lambda i: hashlib.sha512(b"%d" % (i % 25)).hexdigest() * (i % 25)
+    pages = spark.createDataFrame([(i, f"u{i}", text(i)) for i in range(100)], "page_id long, url string, html string").coalesce(2)
+    got = {r.page_id: r for r in warc.read_headers(spark, warc.deduplicate_archive(spark, pages, f"file://{tmp_path}/w")).collect()}
+    assert len(list((tmp_path / "w/all").glob("part-*"))) > 4
+    assert {i: (r.record_type, r.refers_to, r.payload_digest) for i, r in got.items()} == {i: ("response" if i < 25 else "revisit", None if i < 25 else i % 25, warc.payload_digest(text(i).encode())) for i in range(100)}
+
+
 def test_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_headers(spark, warc.deduplicate_archive(spark, pages, f"file://{tmp_path}/w")).count() == 0
@@ -115,7 +126,11 @@ def test_parts_change_nothing(spark, monkeypatch):
     whole = _formatted(spark, rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     parts = chat.format_conversations(df)
-    assert parts.count() == 4
+    assert parts.select("conv_id").distinct().count() == 4
+    monkeypatch.setattr(chat, "PART", 50)
+    stored = chat.format_conversations(df).repartition(5)
+    assert stored.count() > 20
+    assert {r.conv_id: r for r in chat.read_formatted(stored).collect()} == whole
     data, spans = chat.render([(r, x) for _, _, r, x in rows[:40]])
     assert whole[0].formatted_chars == len(data.decode())
 
