@@ -1,11 +1,17 @@
 """WARC archives: writing, reading, and resolving repeated payloads to revisit records.
 
 Archives are WARC/1.1 files of gzip members, one a record, written by Spark's
-own writers so that any store Spark knows will do. Resolution moves headers
-alone: (digest, length, page, place) rows are summed by digest to the first
-page of each payload, joined back, and grouped by archive file; the second
-writing pass walks each old file once and writes fresh records, the repeated
-ones as revisits without their payload.
+own writers. A row of a writer is a block of members of about ``BLOCK`` bytes, and
+a file takes ``BLOCKS_PER_FILE`` of them, so that bytes bound files, not pages.
+Resolution moves headers alone: (digest, length, page, place) rows are summed by
+digest to the first page of each payload, joined back, and grouped by archive
+file; the task that gets a file's decisions opens the file itself, walks it as a
+stream and writes fresh records, the repeated ones as revisits without payload.
+Tasks open files by pyarrow's file systems (local or mounted paths, HDFS, S3, GCS);
+the archives lie below the folder that the caller names, in a store of these.
+
+A task holds one record and what decides over its file (``RECORDS_PER_BLOCK`` times
+``BLOCKS_PER_FILE`` records at most), whatever the file's size.
 
 Edges: a null page is an empty payload (equal to other empty payloads); a null
 or odd URL is percent-encoded; equal page ids of equal payloads are ordered by
@@ -18,20 +24,27 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..ship import ship
 from .common import map_arrow, materialize, scratch_dir, table, texts_of
 
-#: Records in an archive file: what a reader holds of headers, and a bound of a file's size by the pages in it.
-RECORDS_PER_FILE = 4096
+#: Bytes of a block from which it is closed, its records at most, and the blocks of a file.
+BLOCK, RECORDS_PER_BLOCK, BLOCKS_PER_FILE = 8 << 20, 512, 16
+#: Bytes that a reader takes from a file at once, and records whose headers or texts it hands on at once.
+CHUNK, HANDED = 1 << 20, 500
+#: Tasks of the second writing pass: one a file, up to so many.
+MOST_TASKS = 20_000
 LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,22 +80,31 @@ def record(kind: str, page_id: int | None, uri: str, digest: str, payload: bytes
     return "\r\n".join(["WARC/1.1", *head, "", ""]).encode() + body + b"\r\n\r\n"
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and content of each gzip member that isn't empty."""
-    at, n, view = 0, len(data), memoryview(data)
-    while at < n:
-        d, p, out = zlib.decompressobj(31), at, []
+def members(source: bytes | BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member that isn't empty, read as a stream."""
+    file = io.BytesIO(source) if isinstance(source, bytes) else source
+    at, left = 0, file.read(CHUNK)
+    while left:
+        d, size, out = zlib.decompressobj(31), 0, []
         while not d.eof:
-            chunk = view[p : p + 8192]
-            if not chunk:
+            if not left and not (left := file.read(CHUNK)):
                 raise ValueError("an archive member is cut short")
-            out.append(d.decompress(chunk))
-            p += len(chunk)
-        end = p - len(d.unused_data)
+            out.append(d.decompress(left))
+            size += len(left) - len(d.unused_data)
+            left = d.unused_data
         content = b"".join(out)
         if content:
-            yield at, end - at, content
-        at = end
+            yield at, size, content
+        at += size
+        left = left or file.read(CHUNK)
+
+
+def open_file(uri: str) -> BinaryIO:
+    """A file of any store that pyarrow knows, as a stream of bytes."""
+    if uri.startswith("file:"):  # Spark writes file:/a or file:///a
+        return open("/" + uri[5:].lstrip("/"), "rb")
+    system, path = pa.fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(path)
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -97,23 +119,34 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
-def _write(records: DataFrame, path: str) -> None:
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def _write(blocks: DataFrame, path: str) -> None:
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", BLOCKS_PER_FILE).text(path)
+
+
+def _blocks(records: Iterator[bytes], block: int) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members, joined to blocks."""
+    held, size = [], 0
+    for r in records:
+        held.append(gzip.compress(r, LEVEL, mtime=0))
+        size += len(held[-1])
+        if size >= block or len(held) >= RECORDS_PER_BLOCK:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["block"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["block"])
 
 
 def write_archive(pages: DataFrame, path: str) -> str:
     """Write each page as a response record below ``path``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            out = []
             for i, u, h in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)).to_pylist(), texts_of(batch.column(2)), strict=True):
                 payload = h.as_py().encode("utf-8", "surrogatepass")
-                out.append(gzip.compress(record("response", i, clean_uri(u), payload_digest(payload), payload, len(payload)), LEVEL, mtime=0))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                yield record("response", i, clean_uri(u), payload_digest(payload), payload, len(payload))
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    _write(map_arrow(rows, run, "record binary"), path)
+    _write(map_arrow(rows, lambda batches: _blocks(made(batches), BLOCK), "block binary"), path)
     return path
 
 
@@ -122,36 +155,33 @@ HEADERS = "file string, position long, page_id long, uri string, record_type str
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archives below ``path``; a response's digest and length are taken from its payload."""
+    names, kinds = [x.split()[0] for x in HEADERS.split(", ")], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def header(file: str, at: int, data: bytes) -> tuple:
+        fields, http, payload = parse(data)
+        kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].partition(":")[2]
+        if kind == "response":
+            if payload_digest(payload) != digest:
+                raise ValueError(f"{file} at {at}: the payload doesn't match its digest")
+            size, refers = len(payload), None
+        else:
+            size, refers = int(re.search(rb"Content-Length: (\d+)", http)[1]), page_of(fields["WARC-Refers-To"])
+        return file, at, page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, digest, size, refers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for at, _, data in members(content.as_py()):
-                    fields, http, payload = parse(data)
-                    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].partition(":")[2]
-                    if kind == "response":
-                        size, refers = len(payload), None
-                        if payload_digest(payload) != digest:
-                            raise ValueError(f"{file} at {at}: the payload doesn't match its digest")
-                    else:
-                        size, refers = int(re.search(rb"Content-Length: (\d+)", http)[1]), page_of(fields["WARC-Refers-To"])
-                    rows.append((file, at, page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, digest, size, refers))
-                columns = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in HEADERS.split(", ")])
-
-    return _few(spark, _files(spark, path), run, HEADERS)
+            for file in batch.column(0).to_pylist():
+                with open_file(file) as stream:
+                    rows = (header(file, at, data) for at, _, data in members(stream))
+                    while some := list(itertools.islice(rows, HANDED)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
 
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return map_arrow(_files(spark, path), run, HEADERS)
 
 
-def _few(spark: SparkSession, files: DataFrame, run, schema: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file
-    ship(spark)
-    return files.mapInArrow(run, schema)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The archive files, dealt by their bytes; only their names are read here."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
 
 
 def resolve(headers: DataFrame, min_payload: int = 0) -> DataFrame:
@@ -172,23 +202,21 @@ def resolve(headers: DataFrame, min_payload: int = 0) -> DataFrame:
 
 def rewrite(spark: SparkSession, source: str, decisions: DataFrame, path: str) -> str:
     """Write the archives of ``source`` anew below ``path``: first payloads as responses, the others as revisits."""
-    by_file = decisions.groupBy("file").agg(F.collect_list(F.struct("position", "kind", "refers", "refers_uri")).alias("d"))  # at most RECORDS_PER_FILE
+    of_file = F.collect_list(F.struct("position", "kind", "refers", "refers_uri")).alias("d")  # bounded by the records of a file
+    tasks = max(1, min(MOST_TASKS, _files(spark, source).count()))
+    by_file = decisions.repartition(tasks, "file").groupBy("file").agg(of_file)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            for content, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                decided, out = {x["position"]: x for x in d}, []
-                for at, _, data in members(content.as_py()):
-                    fields, _, payload = parse(data)
-                    x = decided[at]
-                    out.append(gzip.compress(record(x["kind"], page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload_digest(payload), payload, len(payload), x["refers"], x["refers_uri"]), LEVEL, mtime=0))
-                    if len(out) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                        out = []
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    joined = _files(spark, source).join(by_file, F.col("path") == F.col("file")).select("content", "d")
-    _write(_few(spark, joined, run, "record binary"), path)
+            for file, d in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                decided = {x["position"]: x for x in d.as_py()}
+                with open_file(file) as stream:
+                    for at, _, data in members(stream):
+                        fields, _, payload = parse(data)
+                        x = decided[at]
+                        yield record(x["kind"], page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload_digest(payload), payload, len(payload), x["refers"], x["refers_uri"])
+
+    _write(map_arrow(by_file, lambda batches: _blocks(made(batches), BLOCK), "block binary"), path)
     return path
 
 
