@@ -6,12 +6,16 @@ mark). Equal windows have equal marks, so a window can repeat only under a mark
 that several documents have, and only under a mark with several different segments
 can windows be equal without their whole segments being so.
 
-The index holds sorted immutable runs of segments. A batch of documents is
-fingerprinted and written as a run; the runs are merge-joined with it by mark;
-equal segments are decided at once, and the first of each of the different segments
-of a mark are opened: their windows are read again from the texts and compared
-under the mark and a second, independent 64-bit hash, which verifies them.
-When there are ``FANOUT`` runs they are compacted to one.
+The index is log-structured. A batch of documents is fingerprinted once; the first
+of each different segment goes into a sorted immutable run, a table bucketed by mark with fixed
+borders, which later batches read without dealing it out again: runs are merge-joined with
+the batch's by mark, bucket by bucket. ``FANOUT`` runs of a level are compacted to one of
+the next. A manifest names the runs, so that an index can be opened again.
+
+Equal segments are decided at once; the first of each of the different segments of a mark
+are opened: their windows are read again from the texts of just these documents and
+compared. Segments and opened windows count as equal if the BLAKE2 digests (128 bits) of
+their very words are: the 64-bit word hashes only choose marks.
 
 Edges: a null text has no words; a null id comes before all others; rows of one
 id (repeated or different) do not repeat each other; documents shorter than a
@@ -26,12 +30,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import map_arrow, materialize, scratch_dir, table, texts_of
+from .common import map_arrow, materialize, scratch_dir, store, table, texts_of
 
 WINDOW, GRAM = 50, 8
 FANOUT = 4
@@ -39,8 +42,9 @@ FANOUT = 4
 BROADCAST_ROWS = 1_000_000
 FIRST_ID = -(2**63)
 
-SEGMENTS = "mark long, seg long, id long, h long, pos int, n int"
-WINDOWS = "mark long, w long, id long, h long, pos int"
+SEGMENTS = "mark long, seg long, seg2 long, id long, h long, pos int, n int"
+RUN = SEGMENTS + ", k long"
+WINDOWS = "mark long, w long, w2 long, id long, h long, pos int"
 
 
 def ids_differ(docs: DataFrame, key: str = "doc_id") -> bool:
@@ -92,9 +96,9 @@ def segments(docs: DataFrame) -> DataFrame:
                 first = np.flatnonzero(new)
                 count = np.diff(np.append(first, len(starts)))
                 begin = starts[first]
-                seg = wordhash.span_hashes(s.hashes, begin, begin + count + WINDOW - 1)
+                seg, seg2 = wordhash.digests(s, begin, begin + count + WINDOW - 1)
                 at = s.first + row[begin]
-                columns = [mark[first].view(np.int64), seg.view(np.int64), ids[at], hs[at], (begin - s.at[row[begin]]).astype(np.int32), count.astype(np.int32)]
+                columns = [mark[first].view(np.int64), seg, seg2, ids[at], hs[at], (begin - s.at[row[begin]]).astype(np.int32), count.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
     return map_arrow(docs, run, SEGMENTS)
@@ -119,10 +123,12 @@ def open_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 place = np.repeat(begin[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 rows = np.repeat(row, k)
                 where = s.at[rows] + place
-                columns = [marks_of(s.hashes)[where].view(np.int64), wordhash.windows(s.hashes, WINDOW)[where].view(np.int64), ids[s.first + rows], hs[s.first + rows], place.astype(np.int32)]
+                columns = [marks_of(s.hashes)[where].view(np.int64), *wordhash.digests(s, where, where + WINDOW), ids[s.first + rows], hs[s.first + rows], place.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
     lists = ranges_of(wanted, "open")
+    bound = lists.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    docs = docs.where(F.col("id").between(bound.a, bound.b)) if bound.a is not None else docs.limit(0)
     return map_arrow(docs.join(_small(lists), ["id", "h"]).select("id", "h", "text", "open"), run, WINDOWS)
 
 
@@ -132,23 +138,45 @@ def _small(lists: DataFrame) -> DataFrame:
 
 
 class WindowIndex:
-    """Sorted runs of segments in a folder, and the documents they came from."""
+    """Sorted runs of segments in a folder, with a manifest, and the documents they came from."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, distinct: bool = False):
-        """``distinct``: all ids of all batches are known to differ."""
+    def __init__(self, spark: SparkSession, folder: str | None = None, distinct: bool = False, buckets: int | None = None):
+        """``distinct``: all ids of all batches are known to differ. ``buckets``: the fixed borders of all runs; by default the session's number of shuffle partitions."""
         self.spark, self.folder, self.distinct = spark, folder or scratch_dir(spark), distinct
-        self.runs: list[str] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[int, str]] = []  # level and folder
         self.history: DataFrame | None = None
-        self._made = 0
-
-    def _write_run(self, run: DataFrame) -> str:
+        self._made = self._version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, history: DataFrame, key: str = "doc_id", text: str = "text") -> WindowIndex:
+        """The index in ``folder`` as its last manifest has it; ``history`` are the documents that it has indexed."""
+        last = spark.read.parquet(f"{folder}/manifest/*").orderBy(F.desc("version")).first()
+        index = cls(spark, folder, last.distinct_ids, last.buckets)
+        index.runs, index._made, index._version = [(r.level, r.path) for r in last.runs], last.made, last.version
+        index.history = keyed(history, key, text, index.distinct)
+        return index
+
+    def _save(self) -> None:
+        self._version += 1
+        row = (self._version, self._made, self.buckets, self.distinct, self.runs)
+        made = self.spark.createDataFrame([row], "version int, made int, buckets int, distinct_ids boolean, runs array<struct<level:int,path:string>>")
+        made.coalesce(1).write.parquet(f"{self.folder}/manifest/{self._version:08d}")
+
+    def _name(self, path: str) -> str:
+        return "pointloom_run_" + hashlib.md5(path.encode()).hexdigest()
+
+    def _write_run(self, rows: DataFrame) -> str:
+        """``rows`` are dealt by mark already."""
         self._made += 1
         path = f"{self.folder}/run-{self._made}"
-        materialize(run, path, sort=("mark", "seg", "id"))
+        rows.write.option("path", path).option("compression", "zstd").bucketBy(self.buckets, "mark").sortBy("mark", "seg", "seg2").saveAsTable(self._name(path))
         return path
 
-    def _entries(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema(SEGMENTS).parquet(*paths)
+    def _run(self, path: str) -> DataFrame:
+        columns = RUN.replace(" long", " bigint")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(path)} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY (mark) SORTED BY (mark, seg, seg2) INTO {self.buckets} BUCKETS")
+        return self.spark.table(self._name(path))
 
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Fingerprint a batch, whose ids are above all those before, find its repeats, and index it.
@@ -156,36 +184,48 @@ class WindowIndex:
         Returns id, h and removed (array of struct b, e: word ranges) of the documents that lose words.
         """
         batch = keyed(docs, key, text, self.distinct)
-        run = self._write_run(segments(batch))
-        entries = self._entries(run).withColumn("new", F.lit(True))
-        if self.runs:
-            entries = entries.unionByName(self._entries(*self.runs).withColumn("new", F.lit(False)))
-        marks = entries.groupBy("mark").agg((F.min("seg") != F.max("seg")).alias("several"), F.min("id").alias("i0"), F.max("id").alias("i1"), F.max("new").alias("touched"))
-        shared = entries.join(marks.where("touched and i0 < i1").select("mark", "several"), "mark").persist(StorageLevel.DISK_ONLY)
-        firsts = materialize(shared.groupBy("mark", "seg").agg(F.min("id").alias("first"), F.count("*").alias("k")))
-        decided = shared.join(firsts, ["mark", "seg"]).where("several or k > 1").select("id", "h", "pos", "n", "new", "several", (F.col("id") > F.col("first")).alias("repeat"))
-        decided = materialize(decided)
-        shared.unpersist()
+        entries = store(segments(batch))
+        # the first of each segment: combined before the first shuffle, so that copies meet no bucket as rows
+        firsts = entries.groupBy("mark", "seg", "seg2").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"), F.count("*").alias("k"))
+        run = self._write_run(firsts.select("mark", "seg", "seg2", "f.id", "f.h", "f.pos", "f.n", "k").repartition(self.buckets, "mark"))
+        runs = self._run(run).withColumn("new", F.lit(True))
+        for _, path in self.runs:
+            runs = runs.unionByName(self._run(path).withColumn("new", F.lit(False)))
+        several = (F.min("seg") != F.max("seg")) | (F.min("seg2") != F.max("seg2"))
+        marks = runs.groupBy("mark").agg(several.alias("several"), F.max("new").alias("touched"), ((F.count("*") > 1) | (F.max("k") > 1)).alias("again"))
+        shared = runs.join(marks.where("touched and again").select("mark", "several"), "mark")
+        first = F.min(F.struct("id", "h", "pos", "n")).alias("f")
+        decided = shared.groupBy("mark", "seg", "seg2").agg(first, F.sum("k").alias("k"), F.max("new").alias("new"), F.max("several").alias("several"))
+        decided = store(decided.where("several or new and k > 1").select("mark", "seg", "seg2", "f", "k", "new", "several"))
+        known = decided.where("new and k > 1").select("mark", "seg", "seg2", F.col("f.id").alias("first"))
+        whole = entries.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, ["mark", "seg", "seg2"]).where("id > first")
+        whole = whole.select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("e"))
         texts = batch if self.history is None else self.history.unionByName(batch)
-        opened = open_windows(texts, decided.where("several and not repeat").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n")).alias("e")))
-        opened = opened.persist(StorageLevel.DISK_ONLY)
+        opened = store(open_windows(texts, decided.where("several").select("f.id", "f.h", F.col("f.pos").alias("b"), (F.col("f.pos") + F.col("f.n")).alias("e"))))
         low = batch.agg(F.min("id")).first()[0]
-        least = opened.groupBy("mark", "w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where((F.col("first") < F.col("last")) & (F.col("last") >= F.lit(low)))
-        least = materialize(least.select("mark", "w", "first"))
-        repeats = opened.where(F.col("id") >= F.lit(low)).join(least, ["mark", "w"]).where("id > first").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + WINDOW).alias("e"))
-        whole = decided.where("new and repeat").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("e"))
+        least = opened.groupBy("mark", "w", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where((F.col("first") < F.col("last")) & (F.col("last") >= F.lit(low)))
+        least = store(least.select("mark", "w", "w2", "first"))
+        repeats = opened.where(F.col("id") >= F.lit(low)).join(least, ["mark", "w", "w2"]).where("id > first").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + WINDOW).alias("e"))
         removed = ranges_of(repeats.unionByName(whole), "removed")
-        opened.unpersist()
-        self.runs.append(run)
+        self.runs.append((0, run))
         self.history = texts
-        if len(self.runs) >= FANOUT:
-            self.compact()
+        self.compact()
+        self._save()
         return removed
 
     def compact(self) -> None:
-        """Merge all runs into one, which keeps the smallest document of each segment."""
-        best = self._entries(*self.runs).groupBy("mark", "seg").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"))
-        self.runs = [self._write_run(best.select("mark", "seg", F.col("f.id").alias("id"), F.col("f.h").alias("h"), F.col("f.pos").alias("pos"), F.col("f.n").alias("n")))]
+        """Merge ``FANOUT`` runs of a level into one of the next, which keeps the smallest document of each segment."""
+        level = 0
+        while level <= max(at for at, _ in self.runs):
+            own = [path for at, path in self.runs if at == level]
+            if len(own) >= FANOUT:
+                rows = self._run(own[0])
+                for path in own[1:]:
+                    rows = rows.unionByName(self._run(path))
+                best = rows.groupBy("mark", "seg", "seg2").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"), F.sum("k").alias("k"))
+                made = self._write_run(best.select("mark", "seg", "seg2", "f.id", "f.h", "f.pos", "f.n", "k"))
+                self.runs = [(at, path) for at, path in self.runs if at != level] + [(level + 1, made)]
+            level += 1
 
 
 def remove_repeats(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True, distinct: bool = False) -> DataFrame:
@@ -221,8 +261,8 @@ def remove_repeats(docs: DataFrame, removed: DataFrame, key: str = "doc_id", tex
     return out.withColumnRenamed("key", key)
 
 
-def deduplicate(docs: DataFrame, batches: int = 2, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Index ``docs`` in so many batches of ascending ids and remove what repeats smaller ids."""
+def deduplicate(docs: DataFrame, batches: int = FANOUT + 1, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Index ``docs`` in so many batches of ascending ids (by default enough to compact and go on) and remove what repeats smaller ids."""
     spark = docs.sparkSession
     cuts = docs.agg(F.percentile_approx(F.col(f"`{key}`").cast("long"), [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     edges = sorted(set(cuts or []))

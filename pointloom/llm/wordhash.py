@@ -7,6 +7,7 @@ its bytes modulo 2**64 with random byte values, mixed; a window's is one of its
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,6 +109,19 @@ def _slice(first: int, o: np.ndarray, data: np.ndarray, lower: bool) -> Words:
     return Words(first, at, mix(np.add.reduceat(values, begins) ^ lengths.astype(np.uint64)), starts, ends, data)
 
 
+def digests(s: Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of the BLAKE2 digest of each run of words ``begin`` to ``end`` (exclusive, not empty), joined by one space."""
+    lengths = s.ends - s.starts
+    at = np.concatenate(([0], np.cumsum(lengths + 1)))
+    plain = np.full(at[-1], 32, np.uint8)
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    plain[np.repeat(at[:-1], lengths) + place] = s.data[np.repeat(s.starts, lengths) + place]
+    view = memoryview(plain)
+    made = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at[begin].tolist(), (at[end] - 1).tolist(), strict=True)])
+    pairs = np.frombuffer(made, "<i8").reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k consecutive words (over all rows; the caller leaves out runs that cross rows)."""
     n = len(hashes)

@@ -150,17 +150,31 @@ def test_removal_matches_brute_force(spark, monkeypatch, batches):
     assert got == brute_removed(rows)
 
 
-def test_index_grows_and_compacts(spark, monkeypatch, tmp_path):
+def test_index_grows_compacts_and_opens_again(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(substring, "FANOUT", 2)
     rows = _repeating(9)
-    index = substring.WindowIndex(spark, f"file://{tmp_path}/index")
-    want, got = brute_removed(rows), {}
-    for k in range(0, len(rows), 22):
-        batch = spark.createDataFrame(rows[k : k + 22], "doc_id long, text string")
+    folder = f"file://{tmp_path}/index"
+    index = substring.WindowIndex(spark, folder)
+    want, got, levels = brute_removed(rows), {}, []
+    for k in range(0, len(rows), 13):
+        batch = spark.createDataFrame(rows[k : k + 13], "doc_id long, text string")
+        if k == 39:  # another session knows the folder and the documents alone
+            for _, path in index.runs:
+                spark.sql(f"DROP TABLE {index._name(path)}")
+            index = substring.WindowIndex.open(spark, folder, spark.createDataFrame(rows[:k], "doc_id long, text string"))
         removed = index.add(batch)
         got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(batch, removed).collect()}
-        assert len(index.runs) == 1
+        levels.append(sorted(at for at, _ in index.runs))
     assert got == want
+    assert levels == [[0], [1], [0, 1], [2], [0, 2]]
+
+
+def test_runs_are_not_dealt_out_again(spark, tmp_path):
+    index = substring.WindowIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    index.add(spark.createDataFrame(_repeating(5), "doc_id long, text string"))
+    run = index._run(index.runs[0][1])
+    both = run.unionByName(run).groupBy("mark").count()
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
 
 
 def test_odd_documents_lose_nothing(spark, nasty):
