@@ -12,12 +12,16 @@ n - ceil(s * n) + l of each; l = 1 is the plain prefix. A pair must share the le
    of them (never pairs). A set may drop its weakest links as long as they stand
    for fewer than half the shingles it must share: any true pair still keeps a link that both have.
    Clusters are the components of what is left.
-4. Texts are dealt by cluster, in chunks of a bounded number of shingles, and joined inside: an
-   inverted index over prefixes (l an eighth, or a quarter where frequent shingles make candidates
-   costly) counts matches per candidate, skips candidates that are already linked, and
-   verifies the rest on whole sets.
+   Runs of very frequent shingles are split by a hash of the set (``HOT`` sets a part), and the
+   parts' first sets linked in a second round.
+4. Texts are dealt by cluster, in chunks of a bounded number of shingles, and joined inside. A chunk
+   orders its shingles by its own counts, estimates from them what candidates each set would
+   get from prefixes of l = a sixteenth, an eighth, a quarter and half of its size, and takes the cheapest.
+   An inverted index over these prefixes counts matches per candidate (the longest lists, fewer than the
+   least l, are left out and the asked matches lowered by them), skips candidates that
+   are already linked, and verifies the rest on whole sets.
 5. Clusters of several chunks share hub documents; if they are then not one
-   component, every set outside the largest is joined with all chunks.
+   component, every set outside the largest is joined with the chunks that have a shingle of its plain prefix in theirs.
 
 Links found span every component of the full graph: a pair is skipped only if both are
 in one component already.
@@ -48,6 +52,8 @@ FREQUENT_LEAST, FREQUENT_MOST, LOCAL_LEAST = 64, 1 << 20, 4
 #: Shingles that a task holds at once, in counting and in a chunk of a cluster; documents that all chunks of a cluster share.
 HELD, CHUNK, HUBS = 2_000_000, 1_000_000, 8
 BROADCAST_ROWS = 1_000_000
+#: Sets in a part of a frequent shingle's run.
+HOT = 8192
 #: Rows of numbers that a function gets at once.
 WIDE = 100_000
 FIRST_ID = -(2**63)
@@ -77,13 +83,14 @@ def needed(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def matches(n, costly):
-    """l of a set: how many prefix shingles it must share."""
-    return np.maximum(1, np.where(costly, n // 4, n // 8))
-
-
 #: l as a share of the size, before and after a prefix is lengthened: one in so many.
 SHORT, LONG = 16, 2
+#: Beyond any set's size: l = 1, the plain prefix.
+PLAIN = 1 << 40
+#: Inside a chunk, a set's l is one in so many of its size.
+LADDER = (16, 8, 4, 2)
+#: What a place in a prefix costs beside a match there.
+PLACE_COST = 2.0
 
 
 def least_matches(part: int, percent: int = PERCENT, n: str = "n"):
@@ -108,14 +115,12 @@ class Order:
         order = np.lexsort((x, cost))
         return x[order], cost[order]
 
-    def prefix(self, x: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
-        """Prefix shingles, how many of them are the plain prefix, and l."""
-        n = len(x)
-        ordered, cost = self.arrange(x)
-        plain = n - needed(n, percent) + 1
-        costly = bool(cost[:plain].sum() > n)
-        ell = int(matches(n, costly))
-        return ordered[: plain + ell - 1], plain, ell
+    def parts(self, tokens: np.ndarray, most: int) -> np.ndarray:
+        """Into how many parts the sets of each token are split."""
+        if not len(self.frequent):
+            return np.ones(len(tokens), np.uint64)
+        at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == tokens, -(-self.counts[at] // most), 1).astype(np.uint64)
 
     def longer(self, x: np.ndarray, part: int, percent: int = PERCENT) -> np.ndarray:
         """The prefix for l = one in ``part`` of the size."""
@@ -171,7 +176,8 @@ def _order(spark: SparkSession, stored: DataFrame) -> Order:
 
 
 def _prefixes(docs: DataFrame, order, part: int, size: int, percent: int) -> DataFrame:
-    """token, node, n of every document's prefix. docs: node (null: the set's hash) and text."""
+    """token, salt, node, n of every document's prefix. docs: node (null: the set's hash) and text. Tokens of more than HOT sets are split by salts from 0 on, others have -1."""
+    most = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
@@ -184,77 +190,96 @@ def _prefixes(docs: DataFrame, order, part: int, size: int, percent: int) -> Dat
                     sizes.append(len(x))
             if tokens:
                 lengths = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))],
-                    names=["token", "node", "n"],
-                )
+                token, node = np.concatenate(tokens), np.repeat(np.array(nodes, np.int64), lengths)
+                split = ranked.parts(token, most)
+                salt = np.where(split > 1, wordhash.mix(node.view(np.uint64)) % split, np.int64(-1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["token", "salt", "node", "n"])
 
-    return map_arrow(docs, run, "token long, node long, n int")
+    return map_arrow(docs, run, "token long, salt int, node long, n int")
 
 
 def _met(tokens: DataFrame) -> DataFrame:
-    """node and how many of its tokens other nodes have too. Sorted rows are read as a stream: no token is gathered."""
+    """node and how many of its tokens other nodes have too. Sorted rows are read as a stream: no token is gathered.
+
+    Every node of a split token has met others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_t = last_s = None  # the last row so far, and whether it was counted
+        last = None  # the last row so far, and whether it was counted
         last_met = True
         for batch in batches:
-            t, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(t):
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            if not rows.shape[1]:
                 continue
-            if last_t is not None:
-                t, s = np.concatenate(([last_t], t)), np.concatenate(([last_s], s))
-            fresh = np.ones(len(t), bool)
-            fresh[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-            t, s = t[fresh], s[fresh]
+            if last is not None:
+                rows = np.column_stack((last, rows))
+            differs = rows[:, 1:] != rows[:, :-1]
+            fresh = np.ones(rows.shape[1], bool)
+            fresh[1:] = differs.any(0)
+            rows = rows[:, fresh]
+            t, salt, s = rows
             met = np.zeros(len(t), bool)
-            same = t[1:] == t[:-1]
+            same = (t[1:] == t[:-1]) & (salt[1:] == salt[:-1])
             met[1:] |= same
             met[:-1] |= same
+            met |= salt >= 0
             out = met.copy()
-            if last_t is not None and last_met:
+            if last is not None and last_met:
                 out[0] = False
-            last_met = bool(met[-1]) or (len(t) == 1 and last_t is not None and last_met)
-            last_t, last_s = t[-1], s[-1]
+            last_met = bool(met[-1]) or (len(t) == 1 and last is not None and last_met)
+            last = rows[:, -1:]
             if out.any():
                 nodes, counts = np.unique(s[out], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts.astype(np.int64))], names=["node", "c"])
 
-    return map_arrow(tokens.select("token", "node").repartition("token").sortWithinPartitions("token", "node"), run, "node long, c long", WIDE).groupBy("node").agg(F.sum("c").alias("c"))
+    made = map_arrow(tokens.select("token", "salt", "node").repartition("token", "salt").sortWithinPartitions("token", "salt", "node"), run, "node long, c long", WIDE)
+    return made.groupBy("node").agg(F.sum("c").alias("c"))
 
 
-def _leads(tokens: DataFrame, percent: int) -> DataFrame:
-    """node, head, n and for how many tokens head is the first of node's run.
+def _runs(tokens: DataFrame, percent: int) -> DataFrame:
+    """token, salt, node, head, n of every row of a token's run: head is the first node of the run.
 
-    A token's sets in order of size form runs without a gap that similarity cannot bridge; runs of one set are left out.
+    A token's sets in order of size form runs without a gap that similarity cannot bridge;
+    runs of one set are left out, but for parts of split tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of a run that the next batch may continue: at most its head (counted or not) and last size
+        held = None  # the last row, the head of its run, and whether that has been given out
         for batch in batches:
-            t, s, n = (batch.column(i).to_numpy() for i in range(3))
+            t, salt, s, n = (batch.column(i).to_numpy() for i in range(4))
             if not len(t):
                 continue
             new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
-            if held is not None and t[0] == held["t"] and 100 * int(held["n"]) >= percent * int(n[0]):
+            new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
+            if held is not None and (t[0], salt[0]) == held["of"] and 100 * int(held["n"]) >= percent * int(n[0]):
                 new[0] = False
             at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
             heads = np.where(at >= 0, s[np.maximum(at, 0)], held["head"] if held is not None else 0)
-            follows = ~new
             first_of_pair = np.zeros(len(t), bool)
-            first_of_pair[:-1] = new[:-1] & follows[1:]
-            count = follows | first_of_pair
-            node, head, size = s[count], heads[count], n[count]
-            if not new[0] and held["single"]:  # the head, now that its run has a second set
-                node, head, size = np.append(node, held["head"]), np.append(head, held["head"]), np.append(size, held["head_n"])
-            single = bool(new[-1])
-            held = {"t": t[-1], "n": n[-1], "head": heads[-1], "single": single, "head_n": n[-1] if single else 0}
-            if len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(head), pa.array(size.astype(np.int32))], names=["node", "head", "n"])
-
-    made = map_arrow(tokens.repartition("token").sortWithinPartitions("token", "n", "node"), run, "node long, head long, n int", WIDE)
-    return made.groupBy("node", "head").agg(F.max("n").alias("n"), F.count("*").alias("c"))
+            first_of_pair[:-1] = new[:-1] & ~new[1:]
+            count = ~new | first_of_pair | (salt >= 0)
+            rows = [t[count], salt[count], s[count], heads[count], n[count]]
+            if not new[0] and held["alone"]:  # the head, now that its run has a second set
+                rows = [np.append(x, v) for x, v in zip(rows, (held["of"][0], held["of"][1], held["head"], held["head"], held["n"]), strict=True)]
+            alone = bool(new[-1]) and salt[-1] < 0
+            held = {"of": (t[-1], salt[-1]), "n": n[-1], "head": heads[-1], "alone": alone}
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(rows, (np.int64, np.int32, np.int64, np.int64, np.int32), strict=True)], names=["token", "salt", "node", "head", "n"])
+
+    dealt = tokens.select("token", "salt", "node", "n").repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
+    return map_arrow(dealt, run, "token long, salt int, node long, head long, n int", WIDE)
+
+
+def _leads(tokens: DataFrame, split: bool, percent: int) -> DataFrame:
+    """Links (a, b) of sets to the heads of their tokens' runs that are left; with ``split``, also of the heads of a token's parts."""
+    rows = _runs(tokens, percent)
+    if not split:
+        return _kept(rows.groupBy("node", "head").agg(F.max("n").alias("n"), F.count("*").alias("c")), percent)
+    part = F.when((F.col("salt") >= 0) & (F.col("node") == F.col("head")), F.col("token")).alias("part")
+    leads = materialize(rows.groupBy("node", "head", part).agg(F.max("n").alias("n"), F.count("*").alias("c")))
+    heads = leads.where("part is not null").select(F.col("part").alias("token"), F.lit(-1).alias("salt"), "node", "n")
+    between = _runs(heads, percent).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return _kept(leads.groupBy("node", "head").agg(F.max("n").alias("n"), F.sum("c").alias("c")), percent).unionByName(between)
 
 
 def _kept(leads: DataFrame, percent: int) -> DataFrame:
@@ -266,18 +291,49 @@ def _kept(leads: DataFrame, percent: int) -> DataFrame:
     return ranked.where((F.col("all") >= least) & (F.col("node") != F.col("head")) & (F.col("weak") > F.floor((least - 1) / 2))).select(F.col("node").alias("a"), F.col("head").alias("b"))
 
 
+def choose_prefix(counts: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
+    """Length and part (l is one in so many of the size) of the cheapest prefix; ``counts``, rising, say how many sets of the chunk have each shingle."""
+    n = len(counts)
+    plain, met = n - needed(n, percent), np.cumsum(counts - 1)
+    best = None
+    for part in LADDER:
+        ell = max(1, n // part)
+        length = min(n, plain + ell)
+        cost = met[length - 1] / ell + PLACE_COST * length
+        if best is None or cost < best[0]:
+            best = cost, length, part
+    return best[1], best[2]
+
+
 class _Local:
-    """The join inside a chunk: adds sets in order of size and links each with the components that it has a partner in."""
-
-    def __init__(self, order: Order, percent: int):
-        self.order, self.percent = order, percent
-        self.sets: list[np.ndarray] = []
-        self.parent: list[int] = []
-        self.ell: list[int] = []
-        #: sets with a token in their prefix: the set itself where it is one, else lists by component
-        self.posts: dict[int, int | dict[int, list[int]]] = {}
-        self.links: list[tuple[int, int]] = []
-        self.known: dict[int, int] = {}
+    """The join inside a chunk: takes sets in order of size and links each with the components that it has a partner in.
+
+    ``sets`` are sorted; ``components`` are labels: sets of one label are in one component from the start.
+    """
+
+    def __init__(self, sets: list[np.ndarray], components: list[int], percent: int):
+        self.percent, self.parent, self.links = percent, list(range(len(sets))), []
+        known: dict[int, int] = {}
+        for i, c in enumerate(components):
+            self.parent[i] = known.setdefault(c, i)
+        whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        _, number, counts = np.unique(whole, return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(x) for x in sets])
+        self.sets = [number[e - len(x) : e] for x, e in zip(sets, ends, strict=True)]
+        chosen, self.ell = [], []
+        parts = set()
+        for x in self.sets:
+            x = x[np.lexsort((x, counts[x]))]
+            own = counts[x]
+            length, part = choose_prefix(own, percent)
+            parts.add(part)
+            self.ell.append(max(1, len(x) // part))
+            chosen.append(x[:length][own[:length] > 1].tolist())
+        self.part = max(parts, default=1)
+        #: sets with a shingle in their prefix, by component: lists of sets
+        self.posts: dict[int, dict[int, list[int]]] = {}
+        for i, tokens in enumerate(chosen):
+            self._add(i, tokens)
 
     def find(self, i: int) -> int:
         p = self.parent
@@ -295,79 +351,65 @@ class _Local:
         shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
         return 100 * shared >= self.percent * (len(a) + len(b) - shared)
 
-    def add(self, x: np.ndarray, component: int) -> None:
-        """``component``: a label; sets of one label are in one component from the start."""
-        i = len(self.sets)
-        tokens, _, ell = self.order.prefix(x, self.percent)
-        self.sets.append(x)
-        self.ell.append(ell)
-        self.parent.append(i)
-        if component in self.known:
-            self.parent[i] = self.find(self.known[component])
-        else:
-            self.known[component] = i
-        tokens = tokens.tolist()
+    def _add(self, i: int, tokens: list[int]) -> None:
+        posts, find = self.posts, self.find
+        n, ell = len(self.sets[i]), self.ell[i]
+        least = max(1, needed(n, self.percent) // self.part)  # no partner has a smaller l, none is smaller
+        held = sorted((p for t in tokens if (p := posts.get(t)) is not None), key=len)
+        left_out = min(least, ell) - 1
+        light = held[: max(0, len(held) - left_out)]
+        left_out = len(held) - len(light)
         by_root = Counter()
-        posts, shared = self.posts, []
-        for t in tokens:
-            post = posts.get(t)
-            if post is not None:
-                if isinstance(post, int):
-                    posts[t] = post = {self.find(post): [post]}
-                shared.append(t)
-                roots = {r: self.find(r) for r in post}
-                if any(r != f for r, f in roots.items()):
-                    merged: dict[int, list[int]] = {}
-                    for r, f in roots.items():
-                        merged.setdefault(f, []).extend(post[r])
-                    posts[t] = post = merged
-                by_root.update(post.keys())
-        least = max(1, needed(len(x), self.percent) // 8)  # no partner has a smaller l
+        for post in light:
+            if len(post) > 1 or find(next(iter(post))) not in post:
+                merged: dict[int, list[int]] = {}
+                for r, sets in post.items():
+                    merged.setdefault(find(r), []).extend(sets)
+                post.clear()
+                post.update(merged)
+            by_root.update(post.keys())
         for root, together in by_root.most_common():
-            if together < least:
+            if together < min(least, ell) - left_out:
                 break
-            if self.find(root) == self.find(i):
+            if find(root) == find(i):
                 continue
             # the set that shares most is verified first; all that share enough are, until one links
             counts = Counter()
-            for t in shared:
-                counts.update(posts[t].get(root, ()))
+            for post in light:
+                counts.update(post.get(root, ()))
             for j, c in counts.most_common():
-                if c >= min(ell, self.ell[j]) and self.similar(i, j):
-                    self.parent[self.find(i)] = self.find(j)
+                if c >= min(ell, self.ell[j]) - left_out and self.similar(i, j):
+                    self.parent[find(i)] = find(j)
                     self.links.append((i, j))
                     break
-        own = self.find(i)
+        own = find(i)
         for t in tokens:
-            post = posts.get(t)
-            if post is None:
-                posts[t] = i
-            else:
-                post.setdefault(own, []).append(i)
+            posts.setdefault(t, {}).setdefault(own, []).append(i)
 
 
-def _join_chunks(rows: DataFrame, order, size: int, percent: int) -> DataFrame:
-    """Links (a, b) found inside each group. rows: cluster, chunk, n, sid, component, text."""
+def _join_chunks(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) found inside each group, whose sets are held at once. rows: cluster, chunk, n, sid, component, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, key, local, sids = order.value, None, None, []
+        key, sids, sets, labels = None, [], [], []
 
         def links() -> pa.RecordBatch:
-            a = pa.array([sids[i] for i, _ in local.links], pa.int64())
-            return pa.RecordBatch.from_arrays([a, pa.array([sids[j] for _, j in local.links], pa.int64())], names=["a", "b"])
+            found = _Local(sets, labels, percent).links
+            return pa.RecordBatch.from_arrays([pa.array([sids[i] for i, _ in found], pa.int64()), pa.array([sids[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             cluster, chunk, sid, component = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             for i, x in shingle_sets(texts_of(batch.column(5)), size):
                 if (cluster[i], chunk[i]) != key:
-                    if local is not None and local.links:
+                    if len(sids) > 1:
                         yield links()
-                    key, local, sids = (cluster[i], chunk[i]), _Local(ranked, percent), []
+                    key, sids, sets, labels = (cluster[i], chunk[i]), [], [], []
                 if sids and sids[-1] == sid[i] or set_hash(x) != sid[i]:  # another row of the id
                     continue
                 sids.append(sid[i])
-                local.add(x, component[i])
-        if local is not None and local.links:
+                sets.append(x)
+                labels.append(component[i])
+        if len(sids) > 1:
             yield links()
 
     sorted_rows = rows.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "n", "sid")
@@ -400,8 +442,8 @@ def _rows(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Data
     met = _met(_prefixes(once, order, SHORT, size, percent))
     live = materialize(met.join(nodes, "node").where(F.col("c") >= least_matches(SHORT, percent)).select("node", "sid", "id", "n"))
     again = keyed.join(_small(live.select("id", F.col("node").alias("known"))), "id").select(F.col("known") if distinct else F.lit(None).cast("long"), "text")
-    leads = _leads(_prefixes(again.toDF("node", "text"), order, LONG, size, percent), percent)
-    clusters = components(_kept(leads, percent))
+    split = bool((order.value.counts > HOT).any())
+    clusters = components(_leads(_prefixes(again.toDF("node", "text"), order, LONG, size, percent), split, percent))
 
     members = clusters.join(live, "node").withColumnRenamed("root", "cluster")
     weights = members.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"), F.count("*").alias("k"))
@@ -410,7 +452,7 @@ def _rows(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Data
     hub = (F.col("chunks") > 1) & (F.expr(f"pmod(xxhash64(node, 2), greatest(1, k div {HUBS}))") == 0)
     chunks = F.when(hub, F.expr("sequence(0L, chunks - 1)")).otherwise(F.array("chunk"))
     dealt = with_text.select("cluster", F.explode(chunks).alias("chunk"), "n", "sid", F.col("sid").alias("component"), "text")
-    found = materialize(_join_chunks(dealt, order, size, percent))
+    found = materialize(_join_chunks(dealt, size, percent))
     roots = components(found)
 
     large = here.where("chunks > 1")
@@ -423,19 +465,22 @@ def _rows(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Data
             rest = open_.where("component != largest")
             blocks = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / CHUNK).alias("blocks"))
             chunk_of = (F.col("block") * F.col("chunks") + F.col("at")).alias("chunk")
-            probes = rest.join(blocks, "cluster").select("*", F.expr("pmod(xxhash64(sid, 1), blocks)").alias("block")).select("*", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("at"))
+            said = _prefixes(keyed.join(_small(open_.select("id", "sid")), "id").select(F.col("sid").alias("node"), "text"), order, PLAIN, size, percent).select(F.col("node").alias("sid"), "token").distinct()
+            said = materialize(said.join(open_.select("sid", "cluster", F.col("chunk").alias("at"), (F.col("component") != F.col("largest")).alias("outside")), "sid"))
+            visits = said.where("outside").select("sid", "cluster", "token").join(said.select("cluster", "at", "token").distinct(), ["cluster", "token"]).select("sid", "at").distinct()
+            probes = rest.join(blocks, "cluster").select("*", F.expr("pmod(xxhash64(sid, 1), blocks)").alias("block")).join(visits, "sid")
             bases = open_.join(blocks, "cluster").withColumn("at", F.col("chunk")).select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
             wanted = ["id", "cluster", chunk_of, "n", "sid", "component"]
             both = probes.select(*wanted).unionByName(bases.select(*wanted)).distinct()
             more = keyed.join(_small(materialize(both)), "id").select("cluster", "chunk", "n", "sid", "component", "text")
-            roots = components(found.unionByName(materialize(_join_chunks(more, order, size, percent))))
+            roots = components(found.unionByName(materialize(_join_chunks(more, size, percent))))
 
     least = first.join(roots.select(F.col("node").alias("sid"), "root"), "sid")
     best = least.groupBy("root").agg(F.min("id").alias("component"))
     linked = least.join(best, "root").select("sid", "component", "root")
     known = materialize(first.where("k > 1").select("sid", F.col("id").alias("own")).join(linked, "sid", "full").select("sid", F.coalesce("component", "own").alias("component"), F.coalesce("root", "sid").alias("root")))
     own = F.when(F.col("n") > 0, F.col("component"))
-    return sets.join(known, "sid", "left").select("id", "sid", "n", F.coalesce(own, "id").alias("component"), F.coalesce("root", "sid").alias("root"))
+    return sets.join(_small(known), "sid", "left").select("id", "sid", "n", F.coalesce(own, "id").alias("component"), F.coalesce("root", "sid").alias("root"))
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -75,13 +75,32 @@ def test_chains_of_similar_texts(spark):
     assert [got[i] for i in range(18)] == brute_components(texts)[0]
 
 
-def test_frequent_shingles_lengthen_prefixes():
-    x = np.arange(1, 101, dtype=np.uint64)
+def test_costly_shingles_lengthen_prefixes():
+    rare, costly = np.ones(100, np.int64), np.full(100, 1000)
+    assert jaccard.choose_prefix(rare) == (25 + 6, 16)
+    assert jaccard.choose_prefix(costly) == (25 + 50, 2)
     order = jaccard.Order(np.arange(1, 51, dtype=np.uint64), np.full(50, 1000))
-    ordered, cost = order.arrange(x)
-    assert cost[:50].sum() == 0 and sorted(ordered.tolist()) == x.tolist()
-    assert order.prefix(x)[2] == 12
-    assert jaccard.Order(x, np.full(100, 50)).prefix(x)[2] == 25
+    ordered, cost = order.arrange(np.arange(1, 101, dtype=np.uint64))
+    assert cost[:50].sum() == 0 and len(set(ordered.tolist())) == 100
+    assert order.parts(np.array([1, 50, 51], np.uint64), 300).tolist() == [4, 4, 1]
+
+
+def test_one_cluster_with_half_of_the_rows(spark, monkeypatch):
+    """Frequent shingles are split, chunks are small, and dissimilar texts share much."""
+    for name, value in (("HOT", 5), ("FREQUENT_LEAST", 4), ("LOCAL_LEAST", 1), ("CHUNK", 2000)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base, line = [word() for _ in range(80)], [word() for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        t[r.randrange(80)] = word()
+        texts.append(" ".join(t))
+    texts += [" ".join([word() for _ in range(r.randint(5, 40))] + line) for _ in range(40)] + [" ".join(word() for _ in range(50)) for _ in range(20)]
+    r.shuffle(texts)
+    got = {x.doc_id: x for x in jaccard.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == brute_components(texts)[0]
 
 
 def test_odd_documents_have_components(spark, nasty):
