@@ -4,9 +4,13 @@ For every byte prefix of a piece exactly one token can end the prefix's
 encoding. The encoder stores that last token per prefix: a token ``t`` ending
 at byte ``i`` is the last one if the token before it (the stored last token of
 the prefix it leaves) and ``t`` may stand side by side. Two tokens may stand
-side by side if no merge across their border comes first in merge order.
+side by side if no merge across their border comes first in merge order. An automaton over the tokens gives those that end at each byte.
 Stored last tokens make appends exact (only the new bytes are worked on) and
-let an edit keep everything before it.
+let an edit keep everything before it, and everything behind it from where a
+longest token's length of last tokens agrees with the old ones.
+
+``TextPrefixes`` holds them for each pre-token of a whole text, which can be appended
+to and edited; ``encode_documents`` encodes whole columns and remembers pieces.
 
 Null texts count as empty: no ids, the digest of no bytes.
 """
@@ -16,9 +20,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +33,8 @@ from .common import map_arrow, only, rows_batch, table, texts_of
 #: Distinct pieces and pairs of tokens that a worker remembers, in two generations: when the
 #: younger is half of them, it becomes the older, from which what is met again comes back.
 CACHED_PIECES, CACHED_PAIRS = 500_000, 300_000
+#: Longer pieces are not remembered, which bounds that memory in bytes.
+LONGEST_REMEMBERED = 64
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -49,13 +56,17 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        #: Of every end of a token: 0 if it is no token, 2 if it is one, 1 once merging is known to make it.
-        self.kind = dict.fromkeys((b[i:] for b in ranks for i in range(len(b))), 0) | dict.fromkeys(ranks, 2)
+        self.longest = max(map(len, ranks), default=0)
         self._parts: dict[bytes, tuple[bytes, bytes] | None | bool] = {}
         self._right: dict[bytes, list] = {}
         self._left: dict[bytes, list] = {}
         self._beside: dict[tuple[bytes, bytes], bool] = {}
         self._beside_older: dict[tuple[bytes, bytes], bool] = {}
+        self._ends = ahocorasick.Automaton()
+        for b in ranks:
+            if self.parts(b) is not False:
+                self._ends.add_word(b.decode("latin-1"), (b, len(b)))
+        self._ends.make_automaton()
 
     @classmethod
     def from_file(cls, path: str) -> PrefixEncoder:
@@ -124,29 +135,26 @@ class PrefixEncoder:
     def extend(self, data: bytes, last: list[bytes], start: int = 0) -> list[bytes]:
         """Last tokens of all prefixes of ``data``; ``last[:start]`` is taken as it stands."""
         del last[start:]
-        kind, memory, beside = self.kind, self._beside, self.beside
-        for i in range(start + 1, len(data) + 1):
-            for j in range(i - 1, -1, -1):
-                t = data[j:i]
-                k = kind.get(t)
-                if not k:
-                    if k is None:
-                        raise ValueError(f"no token ends at byte {i}")
-                    continue
-                if k == 2:
-                    kind[t] = k = 0 if self.parts(t) is False else 1
-                    if not k:
-                        continue
-                if not j:
-                    last.append(t)
-                    break
-                before = last[j - 1]
-                ok = memory.get((before, t))
-                if ok or ok is None and beside(before, t):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"no valid token ends at byte {i}")
+        memory, beside, push = self._beside, self.beside, last.append
+        from_ = max(0, start - self.longest)  # a token that ends behind start begins here or later
+        done = start
+        for end, (t, length) in self._ends.iter(data[from_:].decode("latin-1")):
+            end += from_
+            if end < done:
+                continue
+            if end > done:
+                break
+            if length > end:
+                push(t)
+                done += 1
+                continue
+            before = last[end - length]
+            ok = memory.get((before, t))
+            if ok or ok is None and beside(before, t):
+                push(t)
+                done += 1
+        if done < len(data):
+            raise ValueError(f"no valid token ends at byte {done + 1}")
         return last
 
     def unroll(self, last: list[bytes]) -> list[int]:
@@ -165,24 +173,153 @@ class PrefixEncoder:
 
 
 class Prefixes:
-    """The encoding of one piece that can be appended to and edited."""
+    """The encoding of one piece that can be appended to and edited; ``worked`` counts the prefixes found anew."""
 
     def __init__(self, encoder: PrefixEncoder, data: bytes = b""):
         self.encoder, self.data = encoder, data
         self.last = encoder.extend(data, [])
+        self.worked = len(data)
 
     def append(self, more: bytes) -> None:
-        n, self.data = len(self.data), self.data + more
-        self.encoder.extend(self.data, self.last, n)
+        self.edit(len(self.data), len(self.data), more)
 
     def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replace bytes start to end; last tokens before ``start`` stay, those after are found anew."""
+        """Replace bytes start to end: last tokens before ``start`` stay, as do those after the place where they agree again."""
+        old, longest = self.last, self.encoder.longest
         self.data = self.data[:start] + new + self.data[end:]
-        self.encoder.extend(self.data, self.last, start)
+        border, shift = start + len(new), start + len(new) - end
+        last, at = old[:start], border
+        while True:
+            self.encoder.extend(self.data[:at], last, len(last))
+            # where a longest token's length of last tokens behind the edit agrees, all later ones do
+            if at - border >= longest and last[at - longest :] == old[at - shift - longest : at - shift]:
+                last += old[at - shift :]
+                break
+            if at == len(self.data):
+                break
+            at = min(len(self.data), at + longest)
+        self.worked += at - start
+        self.last = last
 
     def ids(self) -> list[int]:
         r = self.encoder.ranks.get(self.data)
-        return [r] if r is not None else self.encoder.unroll(self.last)
+        return [r] if r is not None else self.unrolled()
+
+    def unrolled(self) -> list[int]:
+        return self.encoder.unroll(self.last)
+
+
+def safe_start(text: str, start: int) -> int:
+    """A position so far before an edit at ``start`` that no pre-token ending there can change.
+
+    Back over white space, over the last visible run and over four
+    characters more: a choice looks past its own end by no more than
+    a run of white space or a contraction of three characters.
+    """
+    p = start
+    while p and text[p - 1].isspace():
+        p -= 1
+    while p and not text[p - 1].isspace():
+        p -= 1
+    while p and text[p - 1].isspace():
+        p -= 1
+    return max(0, p - 4)
+
+
+#: A pre-token that ends so many characters before the end of what is known of a text stands whatever follows.
+LOOKAHEAD = 2
+
+
+def resplit(texts: list[str], sizes: Sequence[int], first: int, begin: int, start: int, end: int, new: str, pattern) -> tuple[int, int, list[str]]:
+    """What an edit of characters start to end does to a text held in consecutive stretches that end with pre-tokens.
+
+    ``first`` is the stretch that holds ``start`` and ``begin`` where it begins; ``sizes`` are the stretches' lengths.
+    Returns the first stretch that is replaced, the one behind the last, and the new pre-tokens.
+    """
+    held = texts[first][: start - begin]
+    step = 1
+    while not (p := safe_start(held, start - begin)) and first:
+        back = max(0, first - step)
+        held = "".join(texts[back:first]) + held
+        begin -= sum(sizes[back:first])
+        first, step = back, step * 2
+    while first < len(texts) - 1 and sizes[first] <= p:  # the stretch that holds this position
+        p -= sizes[first]
+        held, begin = held[sizes[first] :], begin + sizes[first]
+        first += 1
+    behind, known = first, begin
+    while behind < len(texts) and (known < end or behind == first):
+        known += sizes[behind]
+        behind += 1
+    old = "".join(texts[first:behind])
+    changed = old[: start - begin] + new + old[end - begin :]
+    more = 1
+    while True:
+        reach = min(len(texts), behind + more)
+        text = changed + "".join(texts[behind:reach])
+        border, at, pieces = len(changed), behind, []
+        for m in pattern.finditer(text):
+            pieces.append(m.group())
+            e = m.end()
+            while border < e and at < reach:
+                border += sizes[at]
+                at += 1
+            if e == border and (reach == len(texts) or e + LOOKAHEAD <= len(text)):
+                return first, at, pieces
+        if reach == len(texts):
+            return first, reach, pieces
+        more *= 2
+
+
+class TextPrefixes:
+    """The last tokens of each pre-token of a whole text, which can be appended to and edited."""
+
+    def __init__(self, encoder: PrefixEncoder, pattern, text: str = ""):
+        self.encoder, self.pattern = encoder, pattern
+        self.pieces = pattern.findall(text)
+        self.prefixes = [Prefixes(encoder, p.encode("utf-8", "surrogatepass")) for p in self.pieces]
+
+    def append(self, text: str) -> None:
+        n = sum(map(len, self.pieces))
+        self.edit(n, n, text)
+
+    def edit(self, start: int, end: int, new: str) -> None:
+        """Replace characters start to end (clamped to the text). Pre-tokens that stay keep their last tokens; the changed ones go on from theirs."""
+        sizes = list(map(len, self.pieces))
+        n = sum(sizes)
+        start = min(max(start, 0), n)
+        end = min(max(end, start), n)
+        if not self.pieces:
+            self.__init__(self.encoder, self.pattern, new)
+            return
+        first = begin = 0
+        while first < len(sizes) - 1 and begin + sizes[first] <= start:
+            begin += sizes[first]
+            first += 1
+        first, behind, pieces = resplit(self.pieces, sizes, first, begin, start, end, new, self.pattern)
+        old, made = self.prefixes[first:behind], []
+        stay = 0
+        while stay < min(len(old), len(pieces)) and self.pieces[first + stay] == pieces[stay]:
+            stay += 1
+        tail = 0
+        while tail < min(len(old), len(pieces)) - stay and self.pieces[behind - 1 - tail] == pieces[-1 - tail]:
+            tail += 1
+        for k in range(stay, len(pieces) - tail):
+            data = pieces[k].encode("utf-8", "surrogatepass")
+            if k < len(old) - tail:  # goes on from the old pre-token in its place
+                p = old[k]
+                same = next((i for i, (a, b) in enumerate(zip(p.data, data)) if a != b), min(len(p.data), len(data)))  # noqa: B905
+                most = min(len(p.data), len(data)) - same
+                back = next((i for i in range(most) if p.data[-1 - i] != data[-1 - i]), most)
+                p.edit(same, len(p.data) - back, data[same : len(data) - back])
+            else:
+                p = Prefixes(self.encoder, data)
+            made.append(p)
+        self.prefixes[first:behind] = old[:stay] + made + old[len(old) - tail :]
+        self.pieces[first:behind] = pieces
+
+    def ids(self) -> list[int]:
+        return [i for p in self.prefixes for i in p.ids()]
 
 
 class PieceMemory(dict):
@@ -201,6 +338,8 @@ class PieceMemory(dict):
         found = self.older.get(piece)
         if found is None:
             found = self.of(self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) > LONGEST_REMEMBERED:
+            return found
         if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()
