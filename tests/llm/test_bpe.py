@@ -1,10 +1,12 @@
 import hashlib
+import random
 from array import array
 
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, token_counts
 
@@ -44,6 +46,35 @@ def test_appends_and_edits_are_exact(tools, data, more, a, b):
     assert p.ids() == encoder.encode(whole[:start] + more + whole[end:])
 
 
+def test_edits_of_long_pieces_stop_where_they_agree(tools):
+    encoder = tools[0]
+    r = random.Random(5)
+    p = bpe.Prefixes(encoder, bytes(r.choice(b"etaoinshr") for _ in range(20_000)))
+    whole, before = p.data, p.worked
+    for at in (10, 7000, 19_990):
+        p.edit(at, at + 3, b"xyz q")
+        whole = whole[:at] + b"xyz q" + whole[at + 3 :]
+    assert p.data == whole and p.unrolled() == encoder.unroll(encoder.extend(whole, []))
+    assert p.worked - before < 20 * encoder.longest
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts, st.lists(st.tuples(st.integers(-2, 70), st.integers(-2, 70), texts), max_size=4))
+def test_whole_texts_are_appended_to_and_edited(tools, text, edits):
+    encoder, _, pattern, other = tools
+    held = bpe.TextPrefixes(encoder, pattern, text)
+    for start, end, new in edits:
+        held.edit(start, end, new)
+        n = len(text)
+        start = min(max(start, 0), n)
+        end = min(max(end, start), n)
+        text = text[:start] + new + text[end:]
+        assert (held.pieces, held.ids()) == (pattern.findall(text), other.encode_ordinary(text))
+        held.append(new)
+        text += new
+        assert held.ids() == other.encode_ordinary(text)
+
+
 def test_documents(spark, nasty, tools):
     out = bpe.encode_documents(nasty)
     check_rows(out, nasty)
@@ -59,7 +90,7 @@ def test_documents(spark, nasty, tools):
 @given(texts, st.lists(st.tuples(st.integers(-2, 70), st.integers(-2, 70), texts), max_size=4))
 def test_edited_counts_are_full_counts(tools, text, edits):
     encoder, _, pattern, other = tools
-    tree = token_counts.EditedCount(text, token_counts.PieceCounts(encoder), pattern)
+    tree = token_counts.EditedCount.plant(text, token_counts.PieceCounts(encoder), pattern)
     for start, end, new in edits:
         tree.edit(start, end, new)
         n = len(text)
@@ -68,21 +99,29 @@ def test_edited_counts_are_full_counts(tools, text, edits):
         text = text[:start] + new + text[end:]
         assert (tree.text, tree.total) == (text, len(other.encode_ordinary(text)))
         assert tree.sums[1, 0] == len(text)
+        tree = token_counts.EditedCount.read(tree.text, tree.leaves(), tree.counts, pattern)
 
 
 def test_long_edits_stay_local(tools):
     encoder, _, pattern, other = tools
     text = "some words here, " * 5000
-    tree = token_counts.EditedCount(text, token_counts.PieceCounts(encoder), pattern)
+    tree = token_counts.EditedCount.plant(text, token_counts.PieceCounts(encoder), pattern)
     for at in range(100, 80000, 7919):
         tree.edit(at, at + 5, "new text\n\n" * (at % 3))
     assert tree.total == len(other.encode_ordinary(tree.text))
     assert tree.rescanned < 12 * 1000
+    before, tree.rescanned = len(tree.texts), 0
+    tree.edit(50_000, 50_010, "many more words " * 3000)  # more leaves, nothing else counted anew
+    assert tree.total == len(other.encode_ordinary(tree.text)) and len(tree.texts) > before and tree.rescanned < 50_000
 
 
 def test_counted_documents(spark, nasty):
-    edits = "array(struct(0 as start, 1 as end, 'zz' as text), struct(null as start, null as end, null as text))"
-    out = token_counts.count_edited(nasty.selectExpr("*", f"if(doc_id = 3, null, {edits}) as edits"))
-    check_rows(out, nasty)
-    r = {x.doc_id: x for x in out.collect()}
+    edits = "if(key = 3, null, array(struct(0 as start, 1 as end, 'zz' as text), struct(null as start, null as end, null as text)))"
+    trees = token_counts.plant_trees(nasty)
+    out = token_counts.edit_trees(trees, F.expr(edits), keep_trees=True)
+    check_rows(out.withColumnRenamed("key", "doc_id"), nasty)
+    r = {x.key: x for x in out.collect()}
     assert (r[0].n_tokens, r[0].n_chars_after, r[3].n_edits, r[0].n_edits) == (0, 2, 0, 2)
+    again = {x.key: x for x in token_counts.edit_trees(out, F.expr("array(struct(0 as start, 2 as end, '' as text))")).collect()}
+    assert all(again[i].n_tokens == r[i].n_tokens_after for i in r) and again[4].n_chars_after == 0
+    assert token_counts.plant_trees(nasty.limit(0)).count() == 0
