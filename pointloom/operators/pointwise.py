@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -54,22 +55,29 @@ def transformation(df: DataFrame, matrix: str | list[float], invert: bool = Fals
     return df.withColumns({c: expr.divide(row[i], row[3]) for i, c in enumerate("XYZ")})
 
 
-# The ends of each shipped ramp as (position, red, green, blue); entries between are interpolated.
+# Entries of each shipped ramp of 256 as (place, red, green, blue). Those between lie on straight lines, within
+# one unit of the shipped image.
 RAMPS = {
-    "pestel_shades": ((0, 202, 152, 163), (0.5, 184, 205, 171), (1, 152, 171, 202)),
-    "awesome_green": ((0, 0, 60, 30), (1, 180, 240, 160)),
-    "black_orange": ((0, 0, 0, 0), (1, 255, 140, 0)),
-    "blue_hue": ((0, 10, 20, 80), (1, 190, 220, 255)),
-    "blue_orange": ((0, 20, 60, 200), (1, 255, 140, 0)),
-    "blue_red": ((0, 0, 0, 255), (1, 255, 0, 0)),
-    "heat_map": ((0, 0, 0, 255), (0.5, 255, 255, 0), (1, 255, 0, 0)),
+    "pestel_shades": ((0, 0, 88, 95), (10, 12, 96, 101), (20, 27, 107, 111), (34, 54, 126, 127), (48, 84, 148, 146), (76, 150, 195, 185), (90, 182, 215, 201), (104, 210, 231, 214), (116, 230, 240, 220), (128, 245, 243, 220), (140, 255, 240, 214), (153, 255, 230, 201), (165, 255, 216, 185), (180, 255, 195, 160), (220, 255, 129, 86), (236, 255, 107, 61), (250, 255, 92, 45), (255, 255, 89, 41)),
+    "awesome_green": ((0, 0, 56, 64), (35, 0, 66, 69), (89, 1, 90, 81), (180, 1, 138, 104), (221, 2, 156, 113), (255, 2, 166, 118)),
+    "black_orange": ((0, 38, 38, 38), (16, 50, 38, 37), (40, 77, 38, 36), (101, 162, 39, 32), (123, 186, 42, 31), (147, 204, 50, 30), (174, 219, 65, 30), (214, 233, 89, 29), (245, 240, 104, 29), (255, 242, 107, 29)),
+    "blue_hue": ((0, 0, 106, 188), (30, 12, 114, 193), (68, 35, 127, 203), (134, 85, 157, 223), (177, 118, 177, 237), (215, 143, 192, 247), (249, 159, 202, 254), (255, 161, 203, 255)),
+    "blue_orange": ((0, 41, 10, 89), (23, 53, 16, 84), (51, 73, 27, 76), (88, 107, 45, 62), (178, 199, 94, 23), (215, 231, 111, 10), (245, 250, 121, 2), (255, 255, 124, 0)),
+    "blue_red": ((0, 0, 0, 255), (23, 14, 0, 241), (47, 35, 0, 220), (80, 69, 0, 186), (176, 186, 0, 69), (224, 234, 0, 21), (250, 252, 0, 3), (255, 254, 0, 1)),
+    "heat_map": ((0, 10, 0, 178), (10, 21, 0, 169), (22, 40, 0, 156), (40, 76, 0, 130), (85, 182, 0, 53), (106, 224, 0, 22), (119, 245, 0, 8), (128, 255, 0, 0), (139, 255, 13, 0), (153, 255, 37, 0), (171, 255, 75, 0), (214, 255, 179, 0), (230, 255, 213, 0), (245, 255, 239, 0), (255, 255, 251, 0)),
 }
 
 
-def ramp_table(ramp: str, width: int = 256) -> list[tuple[int, int, int]]:
-    stops = np.array(RAMPS[ramp], float)
-    at = np.linspace(0, 1, width)
-    return list(zip(*[np.rint(np.interp(at, stops[:, 0], stops[:, i])).astype(int).tolist() for i in (1, 2, 3)], strict=True))
+def ramp_table(ramp: str | list) -> list[tuple[int, int, int]]:
+    """A shipped ramp's colours, halves rounded up, or a list of (red, green, blue) as it is."""
+    if not isinstance(ramp, str):
+        return [tuple(map(int, c)) for c in ramp]
+    if ramp not in RAMPS:
+        raise ValueError(f"unknown ramp {ramp!r}: one of {', '.join(RAMPS)}, or a list of colours")
+    out = [RAMPS[ramp][0][1:]]
+    for (p, *low), (q, *high) in itertools.pairwise(RAMPS[ramp]):
+        out += [tuple(a + (2 * (b - a) * k + q - p) // (2 * (q - p)) for a, b in zip(low, high, strict=True)) for k in range(1, q - p + 1)]
+    return out
 
 
 def order_statistic(df: DataFrame, column: Column, *places: float) -> list[float]:
@@ -87,7 +95,7 @@ def order_statistic(df: DataFrame, column: Column, *places: float) -> list[float
     return list(found)
 
 
-def colorinterp(df: DataFrame, dimension: str = "Z", minimum: float | None = None, maximum: float | None = None, clamp: bool = False, ramp: str = "pestel_shades", invert: bool = False, mad: bool = False, mad_multiplier: float = 1.4862, k: float = 0.0, width: int = 256) -> DataFrame:
+def colorinterp(df: DataFrame, dimension: str = "Z", minimum: float | None = None, maximum: float | None = None, clamp: bool = False, ramp: str | list = "pestel_shades", invert: bool = False, mad: bool = False, mad_multiplier: float = 1.4862, k: float = 0.0) -> DataFrame:
     """Red, Green and Blue from a ramp between two values of a dimension; outside it rows keep their colours unless clamped."""
     c = F.col(dimension).cast("double")
     if minimum is None or maximum is None:
@@ -98,7 +106,8 @@ def colorinterp(df: DataFrame, dimension: str = "Z", minimum: float | None = Non
         else:
             low, high = df.agg(F.min(c), F.max(c)).first()
         minimum, maximum = low if minimum is None else minimum, high if maximum is None else maximum
-    table = ramp_table(ramp, width)
+    table = ramp_table(ramp)
+    width = len(table)
     table = table[::-1] if invert else table
     span = float(maximum) - float(minimum)
     x = F.least(F.greatest(c, F.lit(float(minimum))), F.lit(float(maximum))) if clamp else c

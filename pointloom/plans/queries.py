@@ -54,13 +54,21 @@ def transformation(spark, d):
     return pointwise.transformation(clouds.event(spark, d), "2 1 0 5  0 0.5 0 -1  0 0 1 10  0 0 0 1").select("pid", r6("X", "x"), r6("Y", "y"), r6("Z", "z"))
 
 
-@query(f"SELECT pid, least(floor((Z - lo) / (hi - lo) * 256), 255)::INTEGER AS entry FROM {EVENT}, (SELECT min(Z) AS lo, max(Z) AS hi FROM {EVENT})")
-def colorinterp_entry(spark, d):
-    df = clouds.event(spark, d)
-    table = pointwise.ramp_table("blue_red")
-    coloured = pointwise.colorinterp(df, "Z", ramp="blue_red")
-    place = F.array_position(F.array(*[F.struct(F.lit(a).alias("Red"), F.lit(b).alias("Green"), F.lit(c).alias("Blue")) for a, b, c in table]), F.struct("Red", "Green", "Blue")) - 1
-    return coloured.select("pid", place.cast("int").alias("entry"))
+def _ramp_sql(stops: str) -> str:
+    mixed = lambda c: f"floor(a.{c} + (2 * (b.{c} - a.{c}) * (entry - a.p) + b.p - a.p) / (2.0 * (b.p - a.p)))::INTEGER"
+    return f"""WITH s AS (SELECT * FROM (VALUES {stops}) v(p, r, g, b)), a AS (SELECT *, lead(p) OVER (ORDER BY p) AS q FROM s),
+e AS (SELECT pid, least(floor((Z - lo) / (hi - lo) * 256), 255) AS entry FROM {EVENT}, (SELECT min(Z) AS lo, max(Z) AS hi FROM {EVENT}))
+SELECT pid, {mixed('r')} AS red, {mixed('g')} AS green, {mixed('b')} AS blue FROM e JOIN a ON entry >= a.p AND (entry < a.q OR a.q = 255 AND entry = 255) JOIN s b ON b.p = a.q"""
+
+
+@query(_ramp_sql("(0, 0, 106, 188), (30, 12, 114, 193), (68, 35, 127, 203), (134, 85, 157, 223), (177, 118, 177, 237), (215, 143, 192, 247), (249, 159, 202, 254), (255, 161, 203, 255)"))
+def colorinterp(spark, d):
+    return pointwise.colorinterp(clouds.event(spark, d), "Z", ramp="blue_hue").select("pid", F.col("Red").alias("red"), F.col("Green").alias("green"), F.col("Blue").alias("blue"))
+
+
+@query(_ramp_sql("(0, 0, 88, 95), (10, 12, 96, 101), (20, 27, 107, 111), (34, 54, 126, 127), (48, 84, 148, 146), (76, 150, 195, 185), (90, 182, 215, 201), (104, 210, 231, 214), (116, 230, 240, 220), (128, 245, 243, 220), (140, 255, 240, 214), (153, 255, 230, 201), (165, 255, 216, 185), (180, 255, 195, 160), (220, 255, 129, 86), (236, 255, 107, 61), (250, 255, 92, 45), (255, 255, 89, 41)"))
+def colorinterp_default(spark, d):
+    return pointwise.colorinterp(clouds.event(spark, d)).select("pid", F.col("Red").alias("red"), F.col("Green").alias("green"), F.col("Blue").alias("blue"))
 
 
 @query(f"""SELECT pid, round(W + 604800.0 * sum(f) OVER (ORDER BY pid), 3) AS gpstime FROM (SELECT pid, W, CASE WHEN lag(W) OVER (ORDER BY pid) - W > 1 THEN 1 ELSE 0 END AS f FROM (SELECT pid, fmod(GpsTime, 604800.0) AS W FROM {EVENT}))""")
