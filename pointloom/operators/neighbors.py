@@ -4,6 +4,8 @@ Pairs come from an equi-join on cells: every reference row goes to the cells aro
 query row looks in its own cell alone, and the exact distance decides. k nearest
 neighbours start from a cell width fitted to the density; a row is done when its k-th
 neighbour is nearer than the width guarantees, the others try again with twice the width.
+Cells begin so small that none is crowded, and of rows in one place only the k first can be neighbours, so that
+dense places make no squares of rows. Rows far from all others choose among coarse cells by bounds of their distance.
 Distances tie by ``pid``. Radius tests are strict (``RADIUS_STRICT``).
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,10 @@ from ..scratch import materialize
 from ..ship import ship
 
 RADIUS_STRICT = True
-#: So few pairs (counted) are compared at once, without cells.
-SMALL_PAIRS = 4_000_000
+#: Reference rows in a cell, for each wanted neighbour, from which cells are halved; and how often at most.
+CROWD, HALVINGS = 16, 40
+#: Coarse cells along an axis, among which far rows choose.
+COARSE = 8
 AXES = ("X", "Y", "Z")
 
 
@@ -57,43 +62,76 @@ def radius_pairs(query: DataFrame, reference: DataFrame, radius: float, d: int |
     return joined.where(near).select("pid", "nid", "d2", *[f"n_{c}" for c in keep])
 
 
+def _square(i_of: Callable[[int], tuple[Column, Column]], n: int) -> Column:
+    return sum((F.pow(a - b, F.lit(2)) for a, b in map(i_of, range(n))), F.lit(0.0))
+
+
+def _far_pairs(left: DataFrame, reference: DataFrame, dims: list[str], take: int, lows: list[float], spans: list[float]) -> DataFrame:
+    """Pairs of rows of ``left`` (q0, ...) with the reference rows (r0, ...) of all coarse cells that can hold a near one."""
+    axes = range(min(len(dims), 3))
+    place = [F.least(F.floor((F.col(f"r{i}") - lows[i]) / ((spans[i] or 1.0) / COARSE)), F.lit(COARSE - 1)) for i in axes]
+    held = reference.withColumn("__cell", sum((p * COARSE**i for i, p in enumerate(place)), F.lit(0)).cast("long"))
+    box = [f(F.col(f"r{i}")).alias(f"{n}{i}") for i in range(len(dims)) for f, n in ((F.min, "a"), (F.max, "b"))]
+    cells = held.groupBy("__cell").agg(F.count("*").alias("n"), *box).collect()  # COARSE ** 3 at most
+    made = F.array(*[F.struct(F.lit(c["__cell"]).alias("cell"), F.lit(c["n"]).alias("n"), *[F.lit(float(c[f"{x}{i}"])).alias(f"{x}{i}") for i in range(len(dims)) for x in "ab"]) for c in cells])
+
+    def bounds(c: Column) -> Column:
+        near = sum((F.pow(F.greatest(c[f"a{i}"] - F.col(f"q{i}"), F.col(f"q{i}") - c[f"b{i}"], F.lit(0.0)), F.lit(2)) for i in range(len(dims))), F.lit(0.0))
+        far = sum((F.pow(F.greatest(F.abs(F.col(f"q{i}") - c[f"a{i}"]), F.abs(F.col(f"q{i}") - c[f"b{i}"])), F.lit(2)) for i in range(len(dims))), F.lit(0.0))
+        return F.struct(far.alias("far"), c["n"].alias("n"), near.alias("near"), c["cell"].alias("cell"))
+
+    chosen = left.withColumn("__all", F.array_sort(F.transform(made, bounds)))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("t"))
+    limit = F.aggregate("__all", start, lambda s, c: F.struct((s["n"] + c["n"]).alias("n"), F.when(s["n"] < take, c["far"]).otherwise(s["t"]).alias("t")), lambda s: s["t"])
+    chosen = chosen.withColumn("__t", limit * (1 + 1e-12)).withColumn("__cell", F.explode(F.expr("transform(filter(__all, c -> c.near <= __t), c -> c.cell)"))).drop("__all", "__t")
+    return chosen.join(held, "__cell")
+
+
 def knn(query: DataFrame, reference: DataFrame, k: int, d: int | list[str] = 3, keep: tuple[str, ...] = (), width: float | None = None) -> DataFrame:
     """pid, nid, d2 and rank (from 1) of the k nearest reference rows of each query row, itself included where it is one of them."""
     dims = _dims(d)
-    grid = dims[:3]
-    query = query.select("pid", *dims)
+    grid = list(range(min(len(dims), 3)))  # cells of three dimensions at most; the distance uses all
     n = reference.count()
     if n == 0:
         return query.sparkSession.createDataFrame([], f"pid long, nid long, d2 double, rank int{''.join(f', n_{c} double' for c in keep)}")
     take = min(k, n)
-    low_high = reference.agg(*[F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(grid)], *[F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(grid)]).first()
-    spans = [low_high[f"b{i}"] - low_high[f"a{i}"] for i in range(len(grid))]
+    rows = reference.select(F.col("pid").alias("nid"), *[F.col(c).cast("double").alias(f"r{i}") for i, c in enumerate(dims)], *[F.col(c).alias(f"n_{c}") for c in keep])
+    same_place = Window.partitionBy(*[f"r{i}" for i in range(len(dims))]).orderBy("nid")
+    rows = materialize(rows.withColumn("__k", F.row_number().over(same_place)).where(F.col("__k") <= take).drop("__k"))
+    left = query.select("pid", *[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(dims)])
+    ends = rows.agg(*[f(f"r{i}").alias(f"{x}{i}") for i in grid for f, x in ((F.min, "a"), (F.max, "b"))]).first()
+    spans = [ends[f"b{i}"] - ends[f"a{i}"] for i in grid]
     largest = max(spans) or 1.0
+
+    def cells(of: str, w: float) -> list[Column]:
+        return [F.floor(F.col(f"{of}{i}") / w).cast("long").alias(f"__c{i}") for i in grid]
+
     if width is None:
         solid = [s for s in spans if s > 0] or [1.0]
         width = max((math.prod(solid) * max(2, take) / n) ** (1 / len(solid)), largest * 1e-6)
-    small = n * n <= SMALL_PAIRS and n * query.count() <= SMALL_PAIRS
-    left, parts = query, []
+        for _ in range(HALVINGS):
+            if rows.groupBy(*cells("r", width)).count().where(F.col("count") > CROWD * take).isEmpty():
+                break
+            width /= 2
+    parts, on = [], [f"__c{i}" for i in grid]
     by_rank = Window.partitionBy("pid").orderBy("d2", "nid")
+    d2 = _square(lambda i: (F.col(f"q{i}"), F.col(f"r{i}")), len(dims))
     while True:
-        # beyond the whole extent every reference row is in reach: plain neighbours of one cell
-        last = small or width > 4 * largest
-        q = left.select("pid", *[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(dims)], *(_cells(grid, width) if not last else []))
-        r = reference.select(F.col("pid").alias("nid"), *dict.fromkeys([*dims, *keep]))
-        r = r if last else _spread(r, grid, width)
-        r = r.select("nid", *[F.col(c).cast("double").alias(f"r{i}") for i, c in enumerate(dims)], *[F.col(c).alias(f"n_{c}") for c in keep], *([] if last else [f"__c{i}" for i in range(len(grid))]))
-        on = [f"__c{i}" for i in range(len(grid))]
+        last = width > 4 * largest  # what is left is far from all reference rows
         if last:
-            q, r, on = q.withColumn("__c0", F.lit(0)), r.withColumn("__c0", F.lit(0)), ["__c0"]
-        d2 = sum((F.pow(F.col(f"q{i}") - F.col(f"r{i}"), F.lit(2)) for i in range(len(dims))), F.lit(0.0))
-        found = q.join(r, on).select("pid", "nid", d2.alias("d2"), *[f"n_{c}" for c in keep]).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= take)
-        if small:
-            return found.select("pid", "nid", "d2", "rank", *[f"n_{c}" for c in keep])
+            pairs = _far_pairs(left, rows, dims, take, [ends[f"a{i}"] for i in grid], spans)
+        else:
+            around = rows.select("*", *cells("r", width))
+            for c in on:
+                around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+            pairs = left.select("*", *cells("q", width)).join(around, on)
+        found = pairs.select("pid", "nid", d2.alias("d2"), *[f"n_{c}" for c in keep]).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= take)
         found = materialize(found)
-        done = found.groupBy("pid").agg(F.count("*").alias("have"), F.max("d2").alias("far")).where((F.col("have") == take) & ((F.col("far") < width * width) | F.lit(last)))
-        parts.append(found.join(done.select("pid"), "pid", "left_semi"))
         if last:
+            parts.append(found)
             break
+        done = found.groupBy("pid").agg(F.count("*").alias("have"), F.max("d2").alias("far")).where((F.col("have") == take) & (F.col("far") < width * width))
+        parts.append(found.join(done.select("pid"), "pid", "left_semi"))
         left = materialize(left.join(done.select("pid"), "pid", "left_anti"))
         if left.isEmpty():
             break

@@ -232,62 +232,115 @@ def pmf(df: DataFrame, cell_size: float = 1.0, exponential: bool = True, initial
     return _classified(joined, ground, where, ground_class, other_class, only_ground).drop("c", "r", "levels")
 
 
+def _along_lines(z: np.ndarray) -> np.ndarray:
+    """Missing cells take the next known one of their row (to the right, else to the left), else of their column (below, else above), else the nearest."""
+
+    def before(g: np.ndarray) -> np.ndarray:
+        """The last known value up to each place of a row."""
+        at = np.maximum.accumulate(np.where(np.isnan(g), -1, np.arange(g.shape[1])), axis=1)
+        return np.where(at >= 0, np.take_along_axis(g, np.maximum(at, 0), 1), np.nan)
+
+    out = z
+    for found in (before(z[:, ::-1])[:, ::-1], before(z), before(z.T).T, before(z[::-1].T).T[::-1]):
+        out = np.where(np.isnan(out), found, out)
+    return fill_nearest(out, 1) if np.isnan(out).any() else out
+
+
+def _regions(mask: np.ndarray) -> np.ndarray:
+    """A label for each cell of the mask: the least index in its region of cells with common sides."""
+    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
+    while True:
+        p = np.pad(label, 1, constant_values=mask.size)
+        near = np.minimum.reduce([label, p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+        near = np.where(mask, near, mask.size)
+        near = np.append(near.ravel(), mask.size)[near]  # and the label of that cell
+        if (near == label).all():
+            return label
+        label = near
+
+
+# Fixed values of the cloth: damping and gravity, the shares of a height difference that one or both nodes give up a round
+# of rigidness, its margin (nodes), the fall that counts as rest, and the regions that are not smoothed.
+DAMPING, GRAVITY, ONE_KEEPS, BOTH_KEEP, MARGIN, REST, SMALL_REGION = 0.01, 0.2, 0.7, 0.4, 2, 0.005, 50
+#: Nodes are tied to those next to them and to the next but one, along axes and diagonals.
+TIES = ((0, 1), (1, 0), (1, 1), (1, -1), (0, 2), (2, 0), (2, 2), (2, -2))
+
+
+def fall(under: np.ndarray, rigidness: int, iterations: int, step: float, smooth: bool, hdiff: float) -> np.ndarray:
+    """Where a cloth comes to rest that falls on the heights ``under``."""
+    cloth = np.full(under.shape, np.max(under) + 0.05)
+    before, movable = cloth.copy(), np.ones(under.shape, bool)
+    one, both = (1 - ONE_KEEPS**rigidness, (1 - BOTH_KEEP**rigidness) / 2) if rigidness < 15 else (1.0, 0.5)
+    rows, cols = under.shape
+
+    def tie(dr: int, dc: int) -> None:
+        # pairs in two turns, so that no node is in two of one turn
+        for turn in (0, 1):
+            r, c = np.arange(rows - dr), np.arange(max(0, -dc), cols - max(0, dc))
+            if dr:
+                r = r[r // dr % 2 == turn]
+            else:
+                c = c[c // dc % 2 == turn]
+            a, b = np.ix_(r, c), np.ix_(r + dr, c + dc)
+            d = cloth[b] - cloth[a]
+            cloth[a] += d * np.where(movable[a], np.where(movable[b], both, one), 0.0)
+            cloth[b] -= d * np.where(movable[b], np.where(movable[a], both, one), 0.0)
+
+    for _ in range(iterations):
+        moved = cloth + (cloth - before) * (1 - DAMPING) - GRAVITY * step**4
+        before, cloth = cloth, np.where(movable, moved, cloth)
+        for _ in range(2):  # each tie pulls from both its ends
+            for dr, dc in TIES:
+                tie(dr, dc)
+        fell = np.abs(cloth - before)[movable].max(initial=0.0)
+        hit = cloth < under
+        cloth = np.where(hit, under, cloth)
+        movable &= ~hit
+        if 0 < fell < REST or not movable.any():
+            break
+    if smooth and movable.any():
+        label = _regions(movable)
+        large = movable & (np.bincount(label.ravel(), minlength=label.size + 1)[label] > SMALL_REGION)
+        while True:
+            p, h = np.pad(~movable, 1), np.pad(under, 1, constant_values=np.inf)
+            sides = ((slice(None, -2), slice(1, -1)), (slice(2, None), slice(1, -1)), (slice(1, -1), slice(None, -2)), (slice(1, -1), slice(2, None)))
+            drop = large & movable & np.logical_or.reduce([p[s] & (np.abs(under - h[s]) < hdiff) for s in sides])
+            if not drop.any():
+                break
+            cloth, movable = np.where(drop, under, cloth), movable & ~drop
+    return cloth
+
+
 def csf(df: DataFrame, resolution: float = 1.0, threshold: float = 0.5, rigidness: int = 3, iterations: int = 500, step: float = 0.65, smooth: bool = True, hdiff: float = 0.3, returns=("last", "only"), ignore: str | None = None, ground_class: int = 2, other_class: int = 1, only_ground: bool = False) -> DataFrame:
-    """Ground by a cloth that falls on the cloud turned upside down."""
+    """Ground by a cloth that falls on the cloud turned upside down.
+
+    A node's obstacle is the row nearest to it; a row is ground if the cloth, between the four nodes around it, comes near.
+    """
     check_returns(df)
     where = _eligible(df, returns, ignore)
-    cells, frame = _grid(df, resolution, F.max(-F.col("Z")), where)
-    if cells is None:
+    b = df.where(where).agg(F.min("X").alias("x0"), F.max("X").alias("x1"), F.min("Y").alias("y0"), F.max("Y").alias("y1")).first()
+    if b.x0 is None:
         return df
+    x0, y0 = b.x0 - MARGIN * resolution, b.y0 - MARGIN * resolution
+    cols, rows = int((b.x1 - b.x0) // resolution) + 2 * MARGIN, int((b.y1 - b.y0) // resolution) + 2 * MARGIN
+    if cols * rows > MOST_CELLS:
+        raise ValueError(f"{cols} x {rows} nodes are more than {MOST_CELLS}; use a coarser cloth, or tile the cloud")
+    fx, fy = (F.col("X") - x0) / resolution, (F.col("Y") - y0) / resolution
+    c, r = F.floor(fx + 0.5).cast("int"), F.floor(fy + 0.5).cast("int")
+    away = F.pow(fx - F.floor(fx + 0.5), F.lit(2)) + F.pow(fy - F.floor(fy + 0.5), F.lit(2))
+    nodes = df.where(where).groupBy(c.alias("c"), r.alias("r")).agg(F.min_by(-F.col("Z"), F.struct(away, "pid")).alias("z"))
 
     def fn(z):
-        under = fill_nearest(z, 1)
-        cloth = np.full(z.shape, np.nanmax(under) + 0.05)
-        before = cloth.copy()
-        movable = np.ones(z.shape, bool)
-        pull = -0.2 * step * step
-        # shares of a pair's difference that a movable node takes, by rigidness
-        one, both = 1 - (1 - 0.7) ** rigidness, (1 - (1 - 0.6) ** rigidness) / 2
-        for _ in range(iterations):
-            move = np.where(movable, (cloth - before) * 0.99 + pull, 0.0)
-            before, cloth = cloth.copy(), cloth + move
-            for axis in (0, 1):
-                for start in (0, 1):
-                    a = [slice(None)] * 2
-                    b = [slice(None)] * 2
-                    n = z.shape[axis]
-                    m = (n - start) // 2
-                    if m < 1:
-                        continue
-                    a[axis], b[axis] = slice(start, start + 2 * m, 2), slice(start + 1, start + 2 * m, 2)
-                    a, b = tuple(a), tuple(b)
-                    d = cloth[b] - cloth[a]
-                    fa = np.where(movable[a], np.where(movable[b], both, one), 0.0)
-                    fb = np.where(movable[b], np.where(movable[a], both, one), 0.0)
-                    cloth[a] += d * fa
-                    cloth[b] -= d * fb
-            hit = cloth <= under
-            cloth = np.where(hit, under, cloth)
-            movable &= ~hit
-            if np.abs(cloth - before).max() < 0.005:
-                break
-        if smooth:
-            stuck = ~movable
-            for _ in range(4):
-                p = np.pad(stuck, 1)
-                near = p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
-                drop = movable & near & (cloth - under < hdiff)
-                cloth = np.where(drop, under, cloth)
-                movable &= ~drop
-                stuck |= drop
-        return (cloth,)
-
-    made = materialize(_on_cells(cells, frame, fn, "cloth double"))
-    x0, y0, cols, rows, _, _ = frame
-    fx, fy = (F.col("X") - x0) / resolution, (F.col("Y") - y0) / resolution
-    joined = df.withColumn("c", F.greatest(F.lit(0), F.least(F.floor(fx), F.lit(cols - 1))).cast("int")).withColumn("r", F.greatest(F.lit(0), F.least(F.floor(fy), F.lit(rows - 1))).cast("int")).join(made, ["c", "r"], "left")
-    ground = F.abs(-F.col("Z") - F.col("cloth")) < threshold
-    return _classified(joined, ground, where, ground_class, other_class, only_ground).drop("c", "r", "cloth")
+        cloth = np.pad(fall(_along_lines(z), rigidness, iterations, step, smooth, hdiff), ((0, 1), (0, 1)), mode="edge")
+        return cloth[:-1, :-1], cloth[:-1, 1:], cloth[1:, :-1], cloth[1:, 1:]
+
+    made = materialize(_on_cells(nodes, (x0, y0, cols, rows, None, None), fn, "__a double, __b double, __d double, __e double"))
+    inside = {"c": F.greatest(F.lit(0), F.least(F.floor(fx), F.lit(cols - 1))).cast("int"), "r": F.greatest(F.lit(0), F.least(F.floor(fy), F.lit(rows - 1))).cast("int")}
+    joined = df.withColumns(inside).join(made, ["c", "r"], "left")
+    u, v = fx - F.col("c"), fy - F.col("r")
+    cloth = F.col("__a") * (1 - u) * (1 - v) + F.col("__b") * u * (1 - v) + F.col("__d") * (1 - u) * v + F.col("__e") * u * v
+    ground = F.abs(cloth + F.col("Z")) < threshold
+    return _classified(joined, ground, where, ground_class, other_class, only_ground).drop("c", "r", "__a", "__b", "__d", "__e")
 
 
 def elm(df: DataFrame, cell: float = 10.0, threshold: float = 1.0, class_: int = 7) -> DataFrame:

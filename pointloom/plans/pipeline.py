@@ -43,6 +43,8 @@ FILTERS: dict[str, tuple[Callable, dict[str, str]]] = {
 REPORTS: dict[str, Callable[..., DataFrame]] = {"stats": aggregate.stats, "info": aggregate.info, "expressionstats": aggregate.expressionstats, "hexbin": aggregate.hexbin, "delaunay": mesh.delaunay, "greedyprojection": mesh.greedyprojection}
 #: Filters whose libraries are not available, or that run foreign code.
 UNAVAILABLE = {n: "its library is not available" for n in ("teaser", "poisson", "matlab", "julia")} | {"shell": "running commands is left to the caller"}
+#: Filters of several inputs, or of none of their own.
+SEVERAL = ("merge", "icp", "m3c2", "cpd")
 SAME_ROWS = {"assign", "ferry", "colorinterp", "transformation", "outlier", "elm", "smrf", "pmf", "csf", "label_duplicates", "normal", "nndistance", "radialdensity", "hag_nn", "cluster", "dbscan"}
 
 
@@ -89,7 +91,7 @@ def validate(text: str | list | dict) -> list[str]:
         raise PipelineError("the first stage is a reader")
     for s in stages:
         kind, _, name = s["type"].partition(".")
-        if kind == "filters" and name not in FILTERS and name not in REPORTS and name not in ("merge",):
+        if kind == "filters" and name not in FILTERS and name not in REPORTS and name not in SEVERAL:
             raise PipelineError(f"{s['type']}: {UNAVAILABLE.get(name, 'unknown')}")
         if kind != "filters" and s["type"] not in sources.READERS and s["type"] not in sources.WRITERS:
             raise PipelineError(f"{s['type']}: {sources.UNAVAILABLE.get(s['type'], 'unknown')}")
@@ -104,7 +106,7 @@ def run_filter(df: DataFrame, name: str, options: dict, where: str | None = None
     known = {renames.get(k, k): v for k, v in options.items()}
     if where is None:
         return fn(df, **known)
-    c = expr.condition(df, where)
+    c = F.coalesce(expr.condition(df, where), F.lit(False))  # a null condition is not met
     done = fn(df.where(c), **known)
     back = where_merge is True or str(where_merge).lower() == "true" or (str(where_merge).lower() == "auto" and name in SAME_ROWS)
     rest = df.where(~c)
@@ -146,7 +148,7 @@ def run(spark: SparkSession, text: str | list | dict, tables: dict[str, DataFram
                 elif name == "m3c2":
                     df = neighbors.m3c2(*taken[:3], **options)
                 else:
-                    if name not in FILTERS and name != "merge":
+                    if name not in FILTERS and name not in SEVERAL:
                         raise PipelineError(f"filters.{name}: {UNAVAILABLE.get(name, 'unknown')}")
                     df = run_filter(df, name, options, options.pop("where", None), options.pop("where_merge", "auto"))
             else:

@@ -130,14 +130,31 @@ def scattered():
     return np.round(np.vstack([r.normal(0, 1, (150, 3)), r.normal(8, 0.1, (60, 3)), [[100, 100, 100]], np.zeros((3, 3))]), 2)
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_knn_matches_brute_force(cloud, scattered, monkeypatch, small):
-    monkeypatch.setattr(neighbors, "SMALL_PAIRS", small)
-    want, d2 = brute_knn(scattered, 7)
+def neighbours(query, reference, k):
     got = {}
-    for r in neighbors.knn(cloud(scattered.tolist()), cloud(scattered.tolist()), 7).collect():
+    for r in neighbors.knn(query, reference, k).collect():
         got.setdefault(r.pid, {})[r["rank"]] = r.nid
-    assert all([got[i][k + 1] for k in range(7)] == want[i].tolist() for i in range(len(scattered)))
+    return {i: [g[j + 1] for j in range(len(g))] for i, g in got.items()}
+
+
+def test_knn_matches_brute_force(cloud, scattered):
+    want, _ = brute_knn(scattered, 7)
+    assert neighbours(cloud(scattered.tolist()), cloud(scattered.tolist()), 7) == dict(enumerate(want.tolist()))
+
+
+def test_knn_of_a_crowded_cell(cloud):
+    """Half of the rows in one small place, a third of them in the very same."""
+    r = np.random.default_rng(8)
+    p = np.vstack([r.random((100, 3)) * 1000, r.random((60, 3)) * 0.01, np.full((50, 3), 5.0)])
+    want, _ = brute_knn(p, 5)
+    assert neighbours(cloud(p.tolist()), cloud(p.tolist()), 5) == dict(enumerate(want.tolist()))
+
+
+def test_knn_of_far_rows(cloud, scattered):
+    q = np.array([[1e7, 0, 0], [0, -5e6, 3], [9, 9, 9], [2000, 100, -40000]])
+    d2 = ((q[:, None] - scattered[None]) ** 2).sum(2)
+    want = [np.lexsort((np.arange(len(scattered)), row))[:6].tolist() for row in d2]
+    assert neighbours(cloud(q.tolist()), cloud(scattered.tolist()), 6) == dict(enumerate(want))
 
 
 def test_few_rows_have_no_kth_neighbour(cloud):
