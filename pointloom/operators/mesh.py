@@ -71,11 +71,13 @@ def delaunay(df: DataFrame) -> DataFrame:
 
 def greedyprojection(df: DataFrame, radius: float, multiplier: float = 2.5, num_neighbors: int = 100, min_angle: float = math.pi / 18, max_angle: float = 2 * math.pi / 3, eps_angle: float = math.pi / 4) -> DataFrame:
     """Triangles grown over oriented points: each point's neighbours are projected on its tangent plane, and
-    consecutive directions become triangles if their angle and normals allow and no edge gets a third triangle."""
+    consecutive directions become triangles if their angle and normals allow and they overlap no triangle there is:
+    an edge has two at most, on its two sides, and no edges cross in the plane."""
 
     def fn(f: pd.DataFrame):
         xyz, nor = f[["X", "Y", "Z"]].to_numpy(float), f[["NormalX", "NormalY", "NormalZ"]].to_numpy(float)
-        used: dict[tuple[int, int], int] = {}
+        opposite: dict[tuple[int, int], list[int]] = {}  # the third corners of an edge's triangles
+        joined: dict[int, set[int]] = {}  # the points that a point has an edge to
         out, have = [], set()
         for i in range(len(f)):
             d = np.linalg.norm(xyz - xyz[i], axis=1)
@@ -86,16 +88,34 @@ def greedyprojection(df: DataFrame, radius: float, multiplier: float = 2.5, num_
             u = np.cross(nor[i], [1.0, 0, 0] if abs(nor[i, 0]) < 0.9 else [0, 1.0, 0])
             u /= np.linalg.norm(u)
             v = np.cross(nor[i], u)
+            plane = lambda j: np.array([(xyz[j] - xyz[i]) @ u, (xyz[j] - xyz[i]) @ v])  # noqa: B023, E731
+            side = lambda p, q, r: float(np.cross(np.append(plane(q) - plane(p), 0), np.append(plane(r) - plane(p), 0))[2])  # noqa: B023, E731
+
+            def crossed(p: int, q: int) -> bool:
+                """Whether an edge near the point crosses the one from p to q."""
+                for c in {i, *close}:  # noqa: B023
+                    for d in joined.get(c, ()):
+                        if len({p, q, c, d}) == 4 and side(p, q, c) * side(p, q, d) < 0 and side(c, d, p) * side(c, d, q) < 0:  # noqa: B023
+                            return True
+                return False
+
+            def free(p: int, q: int, r: int) -> bool:
+                """Whether the edge from p to q can have a triangle with the corner r."""
+                there = opposite.get((min(p, q), max(p, q)), [])
+                return not crossed(p, q) if not there else len(there) == 1 and side(p, q, there[0]) * side(p, q, r) < 0  # noqa: B023
+
             ring = sorted(close, key=lambda j: math.atan2((xyz[j] - xyz[i]) @ v, (xyz[j] - xyz[i]) @ u))
             for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
                 p, q = xyz[a] - xyz[i], xyz[b] - xyz[i]
                 turn = math.atan2(np.cross(p, q) @ nor[i], p @ q)
                 key = tuple(sorted((i, a, b)))
-                edges = [tuple(sorted(e)) for e in ((i, a), (a, b), (b, i))]
-                if min_angle <= turn <= max_angle and key not in have and all(used.get(e, 0) < 2 for e in edges):
+                edges = ((i, a, b), (a, b, i), (b, i, a))
+                if min_angle <= turn <= max_angle and key not in have and all(free(*e) for e in edges):
                     have.add(key)
-                    for e in edges:
-                        used[e] = used.get(e, 0) + 1
+                    for x, y, z in edges:
+                        opposite.setdefault((min(x, y), max(x, y)), []).append(z)
+                        joined.setdefault(x, set()).add(y)
+                        joined.setdefault(y, set()).add(x)
                     out.append((i, a, b))
         return out
 
