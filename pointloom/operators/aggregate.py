@@ -192,8 +192,6 @@ def grid_decimation(df: DataFrame, resolution: float = 1.0, output_type: str = "
 
 
 OUTPUTS = ("min", "max", "mean", "idw", "count", "stdev")
-#: Cells of a raster; a wider one is an error rather than a slow surprise.
-MOST_CELLS = 40_000_000
 
 
 def rasterize(df: DataFrame, resolution: float, radius: float | None = None, power: float = 1.0, output_type: str | list[str] = "all", binmode: bool = False, window_size: int = 0, dimension: str = "Z", bounds: str | None = None, origin: tuple[float, float] | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {"stats": aggregate.stats, "info"
 #: Filters whose libraries are not available, or that run foreign code.
 UNAVAILABLE = {n: "its library is not available" for n in ("teaser", "poisson", "matlab", "julia")} | {"shell": "running commands is left to the caller"}
 #: Filters of several inputs, or of none of their own.
-SEVERAL = ("merge", "icp", "m3c2", "cpd")
+SEVERAL = ("merge", "icp", "m3c2", "cpd", "faceraster")
 SAME_ROWS = {"assign", "ferry", "colorinterp", "transformation", "outlier", "elm", "smrf", "pmf", "csf", "label_duplicates", "normal", "nndistance", "radialdensity", "hag_nn", "cluster", "dbscan"}
 
 
@@ -143,8 +143,14 @@ def run(spark: SparkSession, text: str | list | dict, tables: dict[str, DataFram
             if kind == "filters":
                 if name in REPORTS:
                     result.reports[tag or name] = REPORTS[name](df, **options)
-                elif name == "icp":
-                    df, _ = cluster.icp(taken[0], taken[1], **options)
+                elif name == "faceraster":  # of the last mesh made, else of a Delaunay mesh
+                    made = [v for v in result.reports.values() if {"a", "b", "c", "tri_id"} <= set(v.columns)]
+                    result.reports[tag or name] = mesh.faceraster(df, made[-1] if made else mesh.delaunay(df), **options)
+                elif name in ("icp", "cpd"):
+                    if len(taken) != 2:
+                        raise PipelineError(f"filters.{name} takes a fixed and a moving input")
+                    df, found = getattr(cluster, name)(taken[0], taken[1], **options)
+                    result.reports[tag or name] = spark.createDataFrame([(found["transform"],)], "transform array<double>")
                 elif name == "m3c2":
                     df = neighbors.m3c2(*taken[:3], **options)
                 else:

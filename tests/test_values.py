@@ -249,14 +249,29 @@ def test_supervoxels(cloud):
     assert all(len(s) == 1 for s in sides.values()) and len(sides) > 3
 
 
-def test_drift_finds_a_turn(points):
-    import pandas as pd
-
+def test_drift_finds_a_turn(cloud, points):
     a = 0.2
     turn = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
     moved = (points - [0.1, 0.2, 0.3]) @ turn  # the turn back
-    r, t = cluster.cpd(pd.DataFrame(points, columns=list("XYZ")), pd.DataFrame(moved, columns=list("XYZ")))
-    assert r == pytest.approx(turn, abs=2e-2) and t == pytest.approx([0.1, 0.2, 0.3], abs=5e-2)
+    laid, found = cluster.cpd(cloud(points.tolist()), cloud(moved.tolist()))
+    m = np.array(found["transform"]).reshape(4, 4)
+    assert m[:3, :3] == pytest.approx(turn, abs=2e-2) and m[:3, 3] == pytest.approx([0.1, 0.2, 0.3], abs=5e-2)
+    assert np.array([(r.X, r.Y, r.Z) for r in laid.orderBy("pid").collect()]) == pytest.approx(points, abs=0.1)
+
+
+def test_registration_and_rasters_in_pipelines(cloud, spark):
+    from pointloom.plans import pipeline
+
+    grid = [(x, y, x * 0.5 + (y % 3)) for x in range(6) for y in range(6)]
+    a, b = cloud(grid), cloud([(x + 0.02, y - 0.03, z) for x, y, z in grid])
+    stages = [
+        {"type": "readers.buffer", "tag": "a", "frame": "@a"}, {"type": "readers.buffer", "tag": "b", "frame": "@b"}, {"type": "filters.icp", "inputs": ["a", "b"]},
+        {"type": "filters.faceraster", "inputs": ["a"], "resolution": 1.0, "origin": [0.0, 0.0]},
+    ]
+    assert pipeline.validate(stages)[2] == "filters.icp"
+    out = pipeline.run(spark, stages, {"a": a, "b": b})
+    assert out.reports["icp"].first().transform[3] == pytest.approx(-0.02, abs=1e-3)
+    assert out.reports["faceraster"].count() == 25
 
 
 def test_meshes_and_their_rasters(cloud, spark):
