@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, near copies, benchmark leaks, secrets, then token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents, further
+columns of any name (also of names that operators use) with them.
+
+Null and empty texts: kept by the first four stages (of one id's rows without words one stays), no tokens in the last.
+Null and repeated ids: rows are judged by their own texts. Repeated rows are near copies of each other.
+An empty table stays empty. Texts are worked on whole, however long.
 """
 
 from __future__ import annotations
@@ -12,22 +17,22 @@ from pointloom.llm import bpe, common, decontam, jaccard, secrets, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not find toxic."""
+    """Documents that the classifier chain does not find toxic; without labels all of them."""
     return toxicity.drop_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of similar documents."""
+    """The document of the smallest id (a null one first) of each component of similar documents; documents without words are similar to none."""
     return jaccard.keep_first(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no window of a benchmark item."""
+    """Documents that contain no window of a benchmark item, whatever its id; items without words have no windows."""
     return decontam.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in their texts replaced by a mark."""
+    """All documents, the secrets in their texts replaced by a mark; null texts stay null, and n_chars fits the new texts."""
     return secrets.redact(docs, secrets.model_for(docs))
 
 
