@@ -8,9 +8,9 @@ can windows be equal without their whole segments being so.
 
 The index is log-structured. A batch of documents is fingerprinted once; the first
 of each different segment goes into a sorted immutable run, a table bucketed by mark with fixed
-borders, which later batches read without dealing it out again: runs are merge-joined with
-the batch's by mark, bucket by bucket. ``FANOUT`` runs of a level are compacted to one of
-the next. A manifest names the runs, so that an index can be opened again.
+borders, which later batches read without dealing it out again: each run is merge-joined with
+the batch's marks, bucket by bucket, and only its segments of these marks go on with the batch's own.
+``FANOUT`` runs of a level are compacted to one of the next. A manifest names the runs, so that an index can be opened again.
 
 Equal segments are decided at once; the first of each of the different segments of a mark
 are opened: their windows are read again from the texts of just these documents and
@@ -34,10 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import map_arrow, materialize, scratch_dir, store, table, texts_of
+from .common import map_arrow, materialize, scratch_dir, table, texts_of
 
 WINDOW, GRAM = 50, 8
-FANOUT = 4
+#: Runs of a level that are compacted to one of the next.
+FANOUT = 2
 #: Lists of ranges by document go to every executor up to so many ranges (about 40 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 FIRST_ID = -(2**63)
@@ -141,9 +142,9 @@ class WindowIndex:
     """Sorted runs of segments in a folder, with a manifest, and the documents they came from."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, distinct: bool = False, buckets: int | None = None):
-        """``distinct``: all ids of all batches are known to differ. ``buckets``: the fixed borders of all runs; by default the session's number of shuffle partitions."""
+        """``distinct``: all ids of all batches are known to differ. ``buckets``: the fixed borders of all runs; by default one for four of the session's shuffle partitions."""
         self.spark, self.folder, self.distinct = spark, folder or scratch_dir(spark), distinct
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
         self.runs: list[tuple[int, str]] = []  # level and folder
         self.history: DataFrame | None = None
         self._made = self._version = 0
@@ -178,33 +179,38 @@ class WindowIndex:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(path)} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY (mark) SORTED BY (mark, seg, seg2) INTO {self.buckets} BUCKETS")
         return self.spark.table(self._name(path))
 
+    def touched(self, path: str, run: str) -> DataFrame:
+        """The segments of a run whose marks another run has: both are read as they are dealt."""
+        return self._run(path).join(self._run(run).select("mark").distinct().hint("merge"), "mark", "left_semi")
+
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Fingerprint a batch, whose ids are above all those before, find its repeats, and index it.
 
         Returns id, h and removed (array of struct b, e: word ranges) of the documents that lose words.
         """
         batch = keyed(docs, key, text, self.distinct)
-        entries = store(segments(batch))
+        entries = materialize(segments(batch))
         # the first of each segment: combined before the first shuffle, so that copies meet no bucket as rows
         firsts = entries.groupBy("mark", "seg", "seg2").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"), F.count("*").alias("k"))
         run = self._write_run(firsts.select("mark", "seg", "seg2", "f.id", "f.h", "f.pos", "f.n", "k").repartition(self.buckets, "mark"))
-        runs = self._run(run).withColumn("new", F.lit(True))
+        met = self._run(run).withColumn("new", F.lit(True))
         for _, path in self.runs:
-            runs = runs.unionByName(self._run(path).withColumn("new", F.lit(False)))
+            met = met.unionByName(self.touched(path, run).withColumn("new", F.lit(False)))
+        met = materialize(met)  # as much as the batch has, whatever the history
         several = (F.min("seg") != F.max("seg")) | (F.min("seg2") != F.max("seg2"))
-        marks = runs.groupBy("mark").agg(several.alias("several"), F.max("new").alias("touched"), ((F.count("*") > 1) | (F.max("k") > 1)).alias("again"))
-        shared = runs.join(marks.where("touched and again").select("mark", "several"), "mark")
+        marks = met.groupBy("mark").agg(several.alias("several"), ((F.count("*") > 1) | (F.max("k") > 1)).alias("again"))
+        shared = met.join(marks.where("again").select("mark", "several"), "mark")
         first = F.min(F.struct("id", "h", "pos", "n")).alias("f")
         decided = shared.groupBy("mark", "seg", "seg2").agg(first, F.sum("k").alias("k"), F.max("new").alias("new"), F.max("several").alias("several"))
-        decided = store(decided.where("several or new and k > 1").select("mark", "seg", "seg2", "f", "k", "new", "several"))
+        decided = materialize(decided.where("several or new and k > 1").select("mark", "seg", "seg2", "f", "k", "new", "several"))
         known = decided.where("new and k > 1").select("mark", "seg", "seg2", F.col("f.id").alias("first"))
         whole = entries.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, ["mark", "seg", "seg2"]).where("id > first")
         whole = whole.select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("e"))
         texts = batch if self.history is None else self.history.unionByName(batch)
-        opened = store(open_windows(texts, decided.where("several").select("f.id", "f.h", F.col("f.pos").alias("b"), (F.col("f.pos") + F.col("f.n")).alias("e"))))
+        opened = materialize(open_windows(texts, decided.where("several").select("f.id", "f.h", F.col("f.pos").alias("b"), (F.col("f.pos") + F.col("f.n")).alias("e"))))
         low = batch.agg(F.min("id")).first()[0]
         least = opened.groupBy("mark", "w", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where((F.col("first") < F.col("last")) & (F.col("last") >= F.lit(low)))
-        least = store(least.select("mark", "w", "w2", "first"))
+        least = materialize(least.select("mark", "w", "w2", "first"))
         repeats = opened.where(F.col("id") >= F.lit(low)).join(least, ["mark", "w", "w2"]).where("id > first").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + WINDOW).alias("e"))
         removed = ranges_of(repeats.unionByName(whole), "removed")
         self.runs.append((0, run))
@@ -219,9 +225,8 @@ class WindowIndex:
         while level <= max(at for at, _ in self.runs):
             own = [path for at, path in self.runs if at == level]
             if len(own) >= FANOUT:
-                rows = self._run(own[0])
-                for path in own[1:]:
-                    rows = rows.unionByName(self._run(path))
+                # read as plain files, which claim no order among them: each bucket is gathered once a level
+                rows = self.spark.read.schema(RUN).parquet(*own).repartition(self.buckets, "mark")
                 best = rows.groupBy("mark", "seg", "seg2").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"), F.sum("k").alias("k"))
                 made = self._write_run(best.select("mark", "seg", "seg2", "f.id", "f.h", "f.pos", "f.n", "k"))
                 self.runs = [(at, path) for at, path in self.runs if at != level] + [(level + 1, made)]

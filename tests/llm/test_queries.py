@@ -118,3 +118,39 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "decontamination", "secrets", "byte_bpe"]
+
+
+CLASHES = ["gone", "whole", "is_toxic", "p_toxic", "base_spans", "added_spans", "id", "h", "sid", "kept", "n_hit", "items", "token", "key", "k", "spans", "clean", "n", "a", "b", "text2"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """A folder of small tables: nulls, repeated ids and rows, an empty and a long text, and columns of names that operators use."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    long = "several words of a quite long text " * 2000
+    texts = [(1, "one two three four five six seven"), (1, "another text of the same id"), (2, "one two three four five six seven"), (None, "one two three four five six seven"), (3, None), (4, ""), (5, long), (6, "alpha beta gamma"), (7, "key token=abcdef0123456789 end")]
+    rows = [(i, t, "en", "web", len(t or ""), *[f"{c}{j}" for c in CLASHES]) for j, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 0, 1), (99, None, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(None, "Alpha beta GAMMA"), (2, None)], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_queries_take_clashing_columns(spark, clashing):
+    for name, query in queries.QUERIES.items():
+        if name not in ("op4_warc", "op6_chat_format"):
+            got = sorted(str(r.doc_id) for r in query(spark, clashing).collect())
+            assert got == sorted(["1", "1", "2", "None", "3", "4", "5", "6", "7"]), name
+
+
+def test_stages_take_clashing_columns(spark, clashing):
+    docs = common.table(spark, clashing, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, clashing)
+        assert kept.columns == docs.columns, name
+        left = {(r.doc_id, r.text) for r in kept.collect()}
+        assert {(1, "another text of the same id"), (3, None), (4, "")} <= left
+        assert ((6, "alpha beta gamma") in left) == (name != "decontamination")
+        assert all(r[c].startswith(c) for r in kept.collect() for c in CLASHES)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, clashing).collect()} == {None, 1, 3, 4, 5, 7}

@@ -188,12 +188,22 @@ def test_index_grows_compacts_and_opens_again(spark, monkeypatch, tmp_path):
     assert levels == [[0], [1], [0, 1], [2], [0, 2]]
 
 
-def test_runs_are_not_dealt_out_again(spark, tmp_path):
+def test_runs_are_not_dealt_out_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring, "FANOUT", 9)
     index = substring.WindowIndex(spark, f"file://{tmp_path}/index", buckets=4)
-    index.add(spark.createDataFrame(_repeating(5), "doc_id long, text string"))
-    run = index._run(index.runs[0][1])
-    both = run.unionByName(run).groupBy("mark").count()
-    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    rows = _repeating(5)
+    index.add(spark.createDataFrame(rows[:40], "doc_id long, text string"))
+    index.add(spark.createDataFrame(rows[40:], "doc_id long, text string"))
+    (_, old), (_, new) = index.runs
+    touched = index.touched(old, new)
+    assert "Exchange" not in touched._jdf.queryExecution().executedPlan().toString()
+    marks = {r.mark for r in index._run(new).collect()}
+    assert touched.count() == sum(r.mark in marks for r in index._run(old).collect()) > 0
+    monkeypatch.setattr(substring, "FANOUT", 2)
+    every = [(r.mark, r.seg, r.seg2) for p in (old, new) for r in index._run(p).collect()]
+    index.compact()
+    merged = [(r.mark, r.seg, r.seg2) for r in index._run(index.runs[0][1]).collect()]
+    assert len(index.runs) == 1 and len(merged) == len(set(merged)) < len(every) and set(merged) == set(every)
 
 
 def test_odd_documents_lose_nothing(spark, nasty):
