@@ -33,6 +33,7 @@ extra columns are unused.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,6 +90,8 @@ SHORT, LONG = 16, 2
 PLAIN = 1 << 40
 #: Inside a chunk, a set's l is one in so many of its size.
 LADDER = (16, 8, 4, 2)
+#: Candidates that are verified before the others, one by one.
+TRIED = 3
 #: What a place in a prefix costs beside a match there.
 PLACE_COST = 2.0
 
@@ -312,79 +315,80 @@ class _Local:
     """
 
     def __init__(self, sets: list[np.ndarray], components: list[int], percent: int):
-        self.percent, self.parent, self.links = percent, list(range(len(sets))), []
-        known: dict[int, int] = {}
-        for i, c in enumerate(components):
-            self.parent[i] = known.setdefault(c, i)
-        whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        n = len(sets)
+        self.percent, self.links = percent, []
+        _, self.root = np.unique(np.array(components, np.int64), return_inverse=True)
+        self.members: dict[int, list[int]] = {}
+        for i, r in enumerate(self.root.tolist()):
+            self.members.setdefault(r, []).append(i)
+        whole = np.concatenate(sets) if n else np.zeros(0, np.uint64)
         _, number, counts = np.unique(whole, return_inverse=True, return_counts=True)
-        ends = np.cumsum([len(x) for x in sets])
-        self.sets = [number[e - len(x) : e] for x, e in zip(sets, ends, strict=True)]
-        chosen, self.ell = [], []
-        parts = set()
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        ends = np.cumsum(self.sizes)
+        self.sets = [number[e - k : e] for k, e in zip(self.sizes.tolist(), ends.tolist(), strict=True)]
+        #: the sets that have a shingle: owners[at[t] : at[t + 1]]
+        self.owners, self.at = np.repeat(np.arange(n, dtype=np.int32), self.sizes)[np.argsort(number, kind="stable")], np.concatenate(([0], np.cumsum(counts)))
+        chosen, ells, self.part = [], [], 1
         for x in self.sets:
             x = x[np.lexsort((x, counts[x]))]
             own = counts[x]
             length, part = choose_prefix(own, percent)
-            parts.add(part)
-            self.ell.append(max(1, len(x) // part))
+            self.part = max(self.part, part)
+            ells.append(max(1, len(x) // part))
             chosen.append(x[:length][own[:length] > 1].tolist())
-        self.part = max(parts, default=1)
-        #: sets with a shingle in their prefix, by component: lists of sets
-        self.posts: dict[int, dict[int, list[int]]] = {}
+        self.ells = np.array(ells, np.int64)
+        #: earlier sets with a shingle in their prefix
+        self.posts: dict[int, array] = {}
         for i, tokens in enumerate(chosen):
             self._add(i, tokens)
 
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
     def similar(self, i: int, j: int) -> bool:
         a, b = self.sets[i], self.sets[j]
-        if self.percent * len(b) > 100 * len(a) or self.percent * len(a) > 100 * len(b):
-            return False
         small, large = (a, b) if len(a) < len(b) else (b, a)
         at = np.searchsorted(large, small)
         shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
         return 100 * shared >= self.percent * (len(a) + len(b) - shared)
 
+    def _link(self, i: int, j: int) -> None:
+        self.links.append((i, j))
+        few, many = sorted((int(self.root[i]), int(self.root[j])), key=lambda r: len(self.members[r]))
+        moved = self.members.pop(few)
+        self.root[moved] = many
+        self.members[many] += moved
+
+    def _counted(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The sets in the lists, and how often each is."""
+        every = np.concatenate(lists)
+        if len(every) < len(self.sets) // 8:
+            return np.unique(every, return_counts=True)
+        counts = np.bincount(every, minlength=len(self.sets))
+        places = np.flatnonzero(counts)
+        return places, counts[places]
+
     def _add(self, i: int, tokens: list[int]) -> None:
-        posts, find = self.posts, self.find
-        n, ell = len(self.sets[i]), self.ell[i]
-        least = max(1, needed(n, self.percent) // self.part)  # no partner has a smaller l, none is smaller
-        held = sorted((p for t in tokens if (p := posts.get(t)) is not None), key=len)
-        left_out = min(least, ell) - 1
-        light = held[: max(0, len(held) - left_out)]
-        left_out = len(held) - len(light)
-        by_root = Counter()
-        for post in light:
-            if len(post) > 1 or find(next(iter(post))) not in post:
-                merged: dict[int, list[int]] = {}
-                for r, sets in post.items():
-                    merged.setdefault(find(r), []).extend(sets)
-                post.clear()
-                post.update(merged)
-            by_root.update(post.keys())
-        for root, together in by_root.most_common():
-            if together < min(least, ell) - left_out:
-                break
-            if find(root) == find(i):
-                continue
-            # the set that shares most is verified first; all that share enough are, until one links
-            counts = Counter()
-            for post in light:
-                counts.update(post.get(root, ()))
-            for j, c in counts.most_common():
-                if c >= min(ell, self.ell[j]) - left_out and self.similar(i, j):
-                    self.parent[find(i)] = find(j)
-                    self.links.append((i, j))
-                    break
-        own = find(i)
+        n, ell = int(self.sizes[i]), int(self.ells[i])
+        held = sorted((p for t in tokens if (p := self.posts.get(t)) is not None), key=len)
+        # the longest lists, fewer than the least l (no partner's is smaller), are left out, and the asked matches lowered by them
+        light = held[: max(0, len(held) - (min(max(1, needed(n, self.percent) // self.part), ell) - 1))]
+        if light:
+            found, counts = self._counted([np.frombuffer(p, np.int32) for p in light])
+            enough = (counts >= np.minimum(ell, self.ells[found]) - (len(held) - len(light))) & (100 * self.sizes[found] >= self.percent * n) & (self.root[found] != self.root[i])
+            found = found[enough][np.argsort(-counts[enough], kind="stable")]
+            self._verify(i, found[:TRIED])  # where these link, most others are in the component already
+            found = found[TRIED:]
+            found = found[self.root[found] != self.root[i]]
+            if len(found) > TRIED * 8:  # all whole intersections at once
+                whole, shared = self._counted([self.owners[self.at[t] : self.at[t + 1]] for t in self.sets[i].tolist()])
+                shared = shared[np.searchsorted(whole, found)]
+                found = found[100 * shared >= self.percent * (n + self.sizes[found] - shared)]
+            self._verify(i, found)
         for t in tokens:
-            posts.setdefault(t, {}).setdefault(own, []).append(i)
+            self.posts.setdefault(t, array("i")).append(i)
+
+    def _verify(self, i: int, found: np.ndarray) -> None:
+        for j in found.tolist():
+            if self.root[i] != self.root[j] and self.similar(i, j):
+                self._link(i, j)
 
 
 def _join_chunks(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -434,7 +438,7 @@ def _rows(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Data
     distinct = sets.groupBy("id").count().where("count > 1").isEmpty()
     nodes = first.select("sid", "id", "n", (F.col("id") if distinct else F.col("sid")).alias("node"))
     if distinct:
-        later = sets.where("n > 0").join(first.where("k > 1").select("sid", F.col("id").alias("f")), "sid").where("id > f").select("id")
+        later = sets.where("n > 0").join(_small(first.where("k > 1").select("sid", F.col("id").alias("f"))), "sid").where("id > f").select("id")
         once = keyed.join(_small(materialize(later)), "id", "left_anti").select(F.col("id").alias("node"), "text")
     else:
         once = keyed.select(F.lit(None).cast("long").alias("node"), "text")
