@@ -179,6 +179,21 @@ class WindowIndex:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(path)} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY (mark) SORTED BY (mark, seg, seg2) INTO {self.buckets} BUCKETS")
         return self.spark.table(self._name(path))
 
+    def _firsts(self, rows: DataFrame, **more: Column) -> DataFrame:
+        """The row of the least id of each segment, with further aggregates. Where ids differ all its parts are numbers, which are aggregated by hash."""
+        by = rows.groupBy("mark", "seg", "seg2")
+        named = [v.alias(n) for n, v in more.items()]
+        if not self.distinct:
+            return by.agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"), *named).select("mark", "seg", "seg2", "f.id", "f.h", "f.pos", "f.n", *more)
+        place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
+        made = by.agg(F.min("id").alias("id"), F.min_by(place, F.col("id")).alias("p"), *named)
+        return made.select("mark", "seg", "seg2", "id", F.lit(0).cast("long").alias("h"), F.shiftright("p", 32).cast("int").alias("pos"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), *more)
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalogue; their files and the manifest stay."""
+        for k in range(1, self._made + 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(f'{self.folder}/run-{k}')}")
+
     def touched(self, path: str, run: str) -> DataFrame:
         """The segments of a run whose marks another run has: both are read as they are dealt."""
         return self._run(path).join(self._run(run).select("mark").distinct().hint("merge"), "mark", "left_semi")
@@ -191,8 +206,7 @@ class WindowIndex:
         batch = keyed(docs, key, text, self.distinct)
         entries = materialize(segments(batch))
         # the first of each segment: combined before the first shuffle, so that copies meet no bucket as rows
-        firsts = entries.groupBy("mark", "seg", "seg2").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"), F.count("*").alias("k"))
-        run = self._write_run(firsts.select("mark", "seg", "seg2", "f.id", "f.h", "f.pos", "f.n", "k").repartition(self.buckets, "mark"))
+        run = self._write_run(self._firsts(entries, k=F.count("*")).repartition(self.buckets, "mark"))
         met = self._run(run).withColumn("new", F.lit(True))
         for _, path in self.runs:
             met = met.unionByName(self.touched(path, run).withColumn("new", F.lit(False)))
@@ -200,14 +214,13 @@ class WindowIndex:
         several = (F.min("seg") != F.max("seg")) | (F.min("seg2") != F.max("seg2"))
         marks = met.groupBy("mark").agg(several.alias("several"), ((F.count("*") > 1) | (F.max("k") > 1)).alias("again"))
         shared = met.join(marks.where("again").select("mark", "several"), "mark")
-        first = F.min(F.struct("id", "h", "pos", "n")).alias("f")
-        decided = shared.groupBy("mark", "seg", "seg2").agg(first, F.sum("k").alias("k"), F.max("new").alias("new"), F.max("several").alias("several"))
-        decided = materialize(decided.where("several or new and k > 1").select("mark", "seg", "seg2", "f", "k", "new", "several"))
-        known = decided.where("new and k > 1").select("mark", "seg", "seg2", F.col("f.id").alias("first"))
+        decided = self._firsts(shared, k=F.sum("k"), new=F.max("new"), several=F.max("several"))
+        decided = materialize(decided.where("several or new and k > 1"))
+        known = decided.where("new and k > 1").select("mark", "seg", "seg2", F.col("id").alias("first"))
         whole = entries.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, ["mark", "seg", "seg2"]).where("id > first")
         whole = whole.select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("e"))
         texts = batch if self.history is None else self.history.unionByName(batch)
-        opened = materialize(open_windows(texts, decided.where("several").select("f.id", "f.h", F.col("f.pos").alias("b"), (F.col("f.pos") + F.col("f.n")).alias("e"))))
+        opened = materialize(open_windows(texts, decided.where("several").select("id", "h", F.col("pos").alias("b"), (F.col("pos") + F.col("n")).alias("e"))))
         low = batch.agg(F.min("id")).first()[0]
         least = opened.groupBy("mark", "w", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where((F.col("first") < F.col("last")) & (F.col("last") >= F.lit(low)))
         least = materialize(least.select("mark", "w", "w2", "first"))
@@ -227,8 +240,7 @@ class WindowIndex:
             if len(own) >= FANOUT:
                 # read as plain files, which claim no order among them: each bucket is gathered once a level
                 rows = self.spark.read.schema(RUN).parquet(*own).repartition(self.buckets, "mark")
-                best = rows.groupBy("mark", "seg", "seg2").agg(F.min(F.struct("id", "h", "pos", "n")).alias("f"), F.sum("k").alias("k"))
-                made = self._write_run(best.select("mark", "seg", "seg2", "f.id", "f.h", "f.pos", "f.n", "k"))
+                made = self._write_run(self._firsts(rows, k=F.sum("k")))
                 self.runs = [(at, path) for at, path in self.runs if at != level] + [(level + 1, made)]
             level += 1
 
@@ -279,6 +291,7 @@ def deduplicate(docs: DataFrame, batches: int = FANOUT + 1, key: str = "doc_id",
         part = part if high is None else part.where(column <= high)
         removed = index.add(part, key, text)
         found = removed if found is None else found.unionByName(removed)
+    index.close()
     return remove_repeats(docs, found, key, text, keep_text, distinct)
 
 
