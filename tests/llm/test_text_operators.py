@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -132,6 +134,33 @@ def test_connected_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[102] == 100 and 200 not in got
 
 
+def _random_links(seed=3, nodes=400, links=330):
+    r = random.Random(seed)
+    ids = [r.randrange(-(2**63), 2**63) for _ in range(nodes)]
+    return [(r.choice(ids), r.choice(ids)) for _ in range(links)] + [(ids[i], ids[i + 1]) for i in range(40)]
+
+
+def test_few_links_are_joined_in_few_jobs(spark):
+    """Rounds of plans would grow with the length of the chain, and the driver's memory with them."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        got = {r.node: r.root for r in components.components(links).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys(range(301), 0)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 12
+
+
+def test_components_of_one_task_and_of_rounds_are_equal(spark, monkeypatch):
+    links = spark.createDataFrame(_random_links(), "a long, b long")
+    one = sorted(components.components(links).collect())
+    monkeypatch.setattr(components, "GATHERED", -1)
+    assert one == sorted(components.components(links).collect()) and len({r.root for r in one}) > 5
+    monkeypatch.undo()
+    assert components.components(links.limit(0)).count() == 0
+
+
 def brute_removed(rows):
     first = {}
     words = {i: (t or "").encode().split() for i, t in rows}
@@ -380,6 +409,20 @@ def test_without_labels(spark, nasty):
     assert toxicity.drop_toxic(nasty.limit(0), labels).count() == 0
 
 
+def test_training_rows_come_as_arrays():
+    """A million words of the sample take arrays of 8 bytes on the driver, no Python objects."""
+    lists = pa.chunked_array([pa.array([[1, 300], [], [2]], pa.list_(pa.int32())), pa.array([np.arange(300, 700, dtype=np.int32)] * 1000, pa.list_(pa.int32()))])
+    tracemalloc.start()
+    try:
+        x = toxicity.sparse_rows(lists, 700)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert x.row[:4].tolist() == [0, 0, 2, 3] and x.word[:4].tolist() == [1, 300, 2, 300] and x.n == 1003 and len(x.word) == len(x.row) == 400_003
+    assert peak < 3 * (x.row.nbytes + x.word.nbytes)
+    assert toxicity.sparse_rows(pa.chunked_array([], pa.list_(pa.int32())), 0).n == 0
+
+
 def test_thresholds():
     p, y = np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 1.0, 0.0, 0.0])
     assert 0.2 < toxicity.best_threshold(p, y) <= 0.8
