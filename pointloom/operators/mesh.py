@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,44 +13,138 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 
+def _orient(a, b, c) -> float:
+    """Positive where a, b and c turn left; exact in its sign."""
+    left, right = (a[0] - c[0]) * (b[1] - c[1]), (a[1] - c[1]) * (b[0] - c[0])
+    det = left - right
+    if abs(det) > 4e-16 * (abs(left) + abs(right)):
+        return det
+    if a == b or b == c or a == c:
+        return 0.0
+    (ax, ay), (bx, by), (cx, cy) = (tuple(map(Fraction, v)) for v in (a, b, c))
+    det = (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+    return float((det > 0) - (det < 0))
+
+
+def _in_circle(a, b, c, d) -> float:
+    """Positive where d lies inside the circle of a, b and c, which turn left; exact in its sign."""
+    dx, dy = d
+    ax, ay, bx, by, cx, cy = a[0] - dx, a[1] - dy, b[0] - dx, b[1] - dy, c[0] - dx, c[1] - dy
+    bc, cb, ca, ac, ab, ba = bx * cy, cx * by, cx * ay, ax * cy, ax * by, bx * ay
+    al, bl, cl = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    det = al * (bc - cb) + bl * (ca - ac) + cl * (ab - ba)
+    if abs(det) > 1.2e-15 * ((abs(bc) + abs(cb)) * al + (abs(ca) + abs(ac)) * bl + (abs(ab) + abs(ba)) * cl):
+        return det
+    (ax, ay), (bx, by), (cx, cy) = ((Fraction(v[0]) - Fraction(dx), Fraction(v[1]) - Fraction(dy)) for v in (a, b, c))
+    det = (ax * ax + ay * ay) * (bx * cy - cx * by) + (bx * bx + by * by) * (cx * ay - ax * cy) + (cx * cx + cy * cy) * (ax * by - bx * ay)
+    return float((det > 0) - (det < 0))
+
+
 def triangulate(xy: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangles of points in the plane, by insertion: triangles whose circle holds the new point make room for a fan around it."""
-    n = len(xy)
-    if n < 3:
+    """Delaunay triangles of points in the plane, by insertion: triangles whose circle holds the new point make room for a fan around it.
+
+    The first of these is found by a walk from a point near the new one, the others across their edges. Outside the hull
+    each edge has a triangle with a point at infinity, 0 here (others count from 1). Signs are exact; a point in a place that is taken is left out.
+    """
+    first: dict[tuple[float, float], int] = {}
+    p: list[tuple[float, float]] = [(math.nan, math.nan), *map(tuple, xy.tolist())]
+    for i in range(1, len(p)):
+        if math.isfinite(p[i][0]) and math.isfinite(p[i][1]):
+            first.setdefault((p[i][0] + 0.0, p[i][1] + 0.0), i)
+    todo = list(first.values())
+    third = next((k for k in range(2, len(todo)) if _orient(p[todo[0]], p[todo[1]], p[todo[k]]) != 0), None)
+    if third is None:
         return []
-    lo, hi = xy.min(0), xy.max(0)
-    mid, reach = (lo + hi) / 2, max(float((hi - lo).max()), 1e-9) * 1000
-    p = np.vstack([xy, mid + [-reach, -reach], mid + [reach, -reach], mid + [0, reach]])
-
-    def circle(a: int, b: int, c: int) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = p[a], p[b], p[c]
-        bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
-        d = 2 * (bx * cy - by * cx)
-        if abs(d) < 1e-300:
-            return ax, ay, math.inf
-        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        return ax + ux, ay + uy, ux * ux + uy * uy
-
-    live = {(n, n + 1, n + 2): circle(n, n + 1, n + 2)}
-    seen = set()
-    for i in range(n):
-        key = (xy[i, 0], xy[i, 1])
-        if key in seen:
+    start = [todo[0], todo[1], todo.pop(third)]
+    if _orient(*(p[i] for i in start)) < 0:
+        start = [start[1], start[0], start[2]]
+    m = len(p)
+    apex: dict[int, int] = {}  # the third corner of the triangle to the left of an edge
+    out = [0] * m  # the end of some edge from each point
+    live: dict[tuple[int, int, int], int] = {}  # triangles, their largest point last, by the number of their making
+    made = 0
+
+    def turned(a: int, b: int, c: int) -> tuple[int, int, int]:
+        return (a, b, c) if c > a and c > b else (b, c, a) if a > b else (c, a, b)
+
+    def add(a: int, b: int, c: int) -> None:
+        nonlocal made
+        apex[a * m + b], apex[b * m + c], apex[c * m + a] = c, a, b
+        out[a], out[b], out[c] = b, c, a
+        live[turned(a, b, c)] = made
+        made += 1
+
+    def holds(a: int, b: int, c: int, q) -> bool:
+        """Whether the triangle's circle holds q; outside the hull, its edge's outer side, or the edge."""
+        if a and b and c:
+            return _in_circle(p[a], p[b], p[c], q) > 0
+        u, v = (a, b) if not c else (b, c) if not a else (c, a)
+        side = _orient(p[u], p[v], q)
+        return side > 0 or (side == 0 and min(p[u], p[v]) < q < max(p[u], p[v]))
+
+    a, b, c = start
+    for t in ((a, b, c), (b, a, 0), (c, b, 0), (a, c, 0)):
+        add(*t)
+    x0, y0 = min(q[0] for q in first), min(q[1] for q in first)
+    wide = max(max(q[0] for q in first) - x0, max(q[1] for q in first) - y0)
+    deep = max(0, int(math.log2(len(todo) + 1) / 2))
+    grids: list[dict[int, int]] = [{} for _ in range(deep + 1)]  # the last point of each square, from one square to about one a point
+    scale = [(1 << level) * (1 - 1e-9) / wide for level in range(deep + 1)]
+
+    def seen(i: int) -> None:
+        x, y = p[i][0] - x0, p[i][1] - y0
+        for g, s in zip(grids, scale, strict=True):
+            g[int(x * s) << 32 | int(y * s)] = i
+
+    for i in start:
+        seen(i)
+    for i in todo:
+        if i in start:
             continue
-        seen.add(key)
-        bad = [t for t, (x, y, r2) in live.items() if (p[i, 0] - x) ** 2 + (p[i, 1] - y) ** 2 < r2 * (1 - 1e-12)]
+        q = p[i]
+        x, y = q[0] - x0, q[1] - y0
+        for level in range(deep, -1, -1):
+            a = grids[level].get(int(x * scale[level]) << 32 | int(y * scale[level]), 0)
+            if a:
+                break
+        b = out[a]
+        c = apex[a * m + b]
+        if not (a and b and c):  # begin inside the hull
+            a, b = (b, a) if not c else (c, b) if not a else (a, c)
+            c = apex[a * m + b]
+        while c:
+            if _orient(p[b], p[c], q) < 0:
+                a, b = c, b
+            elif _orient(p[c], p[a], q) < 0:
+                a, b = a, c
+            elif _orient(p[a], p[b], q) < 0:
+                a, b = b, a
+            else:
+                break
+            c = apex[a * m + b]
+        bad = {turned(a, b, c)}
+        edge = [(b, a), (c, b), (a, c)]
+        while edge:
+            u, v = edge.pop()
+            w = apex[u * m + v]
+            t = turned(u, v, w)
+            if t not in bad and holds(u, v, w, q):
+                bad.add(t)
+                edge += [(w, v), (u, w)]
         rim: dict[tuple[int, int], int] = {}
-        for a, b, c in bad:
-            del live[a, b, c]
+        for t in sorted(bad, key=live.__getitem__):
+            a, b, c = t
             for e in ((a, b), (b, c), (c, a)):
                 if (e[1], e[0]) in rim:
                     del rim[e[1], e[0]]
                 else:
                     rim[e] = 1
+        for a, b, c in bad:
+            del live[a, b, c], apex[a * m + b], apex[b * m + c], apex[c * m + a]
         for a, b in rim:
-            if (p[b, 0] - p[a, 0]) * (p[i, 1] - p[a, 1]) - (p[b, 1] - p[a, 1]) * (p[i, 0] - p[a, 0]) > 0:
-                live[a, b, i] = circle(a, b, i)
-    return [t for t in live if max(t) < n]
+            add(a, b, i)
+        seen(i)
+    return [(a - 1, b - 1, c - 1) for a, b, c in live if a and b]
 
 
 def _mesh(df: DataFrame, fn, columns: list[str]) -> DataFrame:
