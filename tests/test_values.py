@@ -326,3 +326,9 @@ def test_null_conditions_keep_their_rows(spark):
     df = spark.createDataFrame([(0, 1.0), (1, None), (2, 9.0)], "pid long, X double")
     out = pipeline.run_filter(df, "assign", {"value": "X = 5"}, where="X > 3")
     assert {r.pid: r.X for r in out.collect()} == {0: 1.0, 1: None, 2: 5.0}
+
+
+def test_face_raster_covers_flat_triangles_at_the_hull(cloud):
+    df = cloud([(0, 0, 0), (1000, 0, 0), (500, 1000, 0), (500, 0.05, 7)])
+    cells = mesh.faceraster(df, mesh.delaunay(df), 100.0, (0.0, -49.99)).where("row = 0").collect()  # centres at 0.01 above the edge
+    assert sorted(r.col for r in cells) == list(range(10))
