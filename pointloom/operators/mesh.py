@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 
+#: Rows of a leaf in the search for neighbours.
+LEAF = 64
+
 
 def _orient(a, b, c) -> float:
     """Positive where a, b and c turn left; exact in its sign."""
@@ -164,33 +167,98 @@ def delaunay(df: DataFrame) -> DataFrame:
     return _mesh(df, lambda f: triangulate(f[["X", "Y"]].to_numpy(float)), ["X", "Y"])
 
 
+def _nearest(xyz: np.ndarray, radius: float, k: int) -> list[list[tuple[int, float]]]:
+    """Index and distance of the rows not farther than the radius among each row's k nearest after the first, which is itself or in its place.
+
+    Rows are halved into leaves; a leaf looks at those whose boxes can hold one of the k.
+    """
+    out: list[list[tuple[int, float]]] = [[] for _ in xyz]
+    leaves, todo = [], [np.flatnonzero(np.isfinite(xyz).all(1))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            leaves += [rows] if len(rows) else []
+            continue
+        p = xyz[rows]
+        half = np.argpartition(p[:, np.argmax(p.max(0) - p.min(0))], len(rows) // 2)
+        todo += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
+    if not leaves:
+        return out
+    low, high = (np.stack([f(xyz[rows], 0) for rows in leaves]) for f in (np.min, np.max))
+    for rows, a, b in zip(leaves, low, high, strict=True):
+        gap = np.maximum(np.maximum(a - high, low - b), 0.0)
+        bound = np.sqrt((gap * gap).sum(1)) * (1 - 1e-12)
+        reach, many = radius, 1 + k // LEAF
+        while True:  # enough of the nearest leaves first, for a bound of the k-th distance
+            chosen = np.argsort(bound, kind="stable")[:many] if many < len(leaves) else np.arange(len(leaves))
+            held = np.sort(np.concatenate([leaves[c] for c in chosen]))
+            if len(held) > k or many >= len(leaves):
+                break
+            many *= 2
+        for last in (False, True):
+            if last:
+                held = np.sort(np.concatenate([leaves[c] for c in np.flatnonzero(bound <= reach)]))
+            d = np.sqrt(((xyz[rows][:, None] - xyz[held]) ** 2).sum(2))
+            kth = np.partition(d, k, axis=1)[:, k] if len(held) > k else np.full(len(rows), math.inf)
+            reach = min(reach, float(kth.max()))
+        for i, row, far in zip(rows.tolist(), d, kth, strict=True):
+            near = np.flatnonzero(row <= min(far, radius))
+            near = near[np.argsort(row[near], kind="stable")][1 : k + 1]
+            out[i] = [(j, v) for j, v in zip(held[near].tolist(), row[near].tolist(), strict=True) if v > 0]
+    return out
+
+
 def greedyprojection(df: DataFrame, radius: float, multiplier: float = 2.5, num_neighbors: int = 100, min_angle: float = math.pi / 18, max_angle: float = 2 * math.pi / 3, eps_angle: float = math.pi / 4) -> DataFrame:
     """Triangles grown over oriented points: each point's neighbours are projected on its tangent plane, and
     consecutive directions become triangles if their angle and normals allow and they overlap no triangle there is:
     an edge has two at most, on its two sides, and no edges cross in the plane."""
 
+    least = math.cos(eps_angle)
+
     def fn(f: pd.DataFrame):
-        xyz, nor = f[["X", "Y", "Z"]].to_numpy(float), f[["NormalX", "NormalY", "NormalZ"]].to_numpy(float)
+        xyz, nor = f[["X", "Y", "Z"]].to_numpy(float), f[["NormalX", "NormalY", "NormalZ"]].to_numpy(float).tolist()
+        nearest, points = _nearest(xyz, radius, num_neighbors), xyz.tolist()
         opposite: dict[tuple[int, int], list[int]] = {}  # the third corners of an edge's triangles
         joined: dict[int, set[int]] = {}  # the points that a point has an edge to
         out, have = [], set()
-        for i in range(len(f)):
-            d = np.linalg.norm(xyz - xyz[i], axis=1)
-            near = [j for j in np.argsort(d, kind="stable")[1 : num_neighbors + 1] if 0 < d[j] <= radius and abs(nor[i] @ nor[j]) >= math.cos(eps_angle)]
+        for i, ((x, y, z), (n0, n1, n2)) in enumerate(zip(points, nor, strict=True)):
+            near = [(j, d) for j, d in nearest[i] if abs(n0 * nor[j][0] + n1 * nor[j][1] + n2 * nor[j][2]) >= least]
             if len(near) < 2:
                 continue
-            close = [j for j in near if d[j] <= multiplier * d[near[0]]]
-            u = np.cross(nor[i], [1.0, 0, 0] if abs(nor[i, 0]) < 0.9 else [0, 1.0, 0])
-            u /= np.linalg.norm(u)
-            v = np.cross(nor[i], u)
-            plane = lambda j: np.array([(xyz[j] - xyz[i]) @ u, (xyz[j] - xyz[i]) @ v])  # noqa: B023, E731
-            side = lambda p, q, r: float(np.cross(np.append(plane(q) - plane(p), 0), np.append(plane(r) - plane(p), 0))[2])  # noqa: B023, E731
+            close = [j for j, d in near if d <= multiplier * near[0][1]]
+            u0, u1, u2 = (0.0, n2, -n1) if abs(n0) < 0.9 else (-n2, 0.0, n0)
+            size = math.sqrt(u0 * u0 + u1 * u1 + u2 * u2) or math.nan
+            u0, u1, u2 = u0 / size, u1 / size, u2 / size
+            v0, v1, v2 = n1 * u2 - n2 * u1, n2 * u0 - n0 * u2, n0 * u1 - n1 * u0
+            at: dict[int, tuple[float, float]] = {}  # places in the point's plane
+
+            def plane(j: int) -> tuple[float, float]:
+                if j not in at:  # noqa: B023
+                    a, b, c = points[j][0] - x, points[j][1] - y, points[j][2] - z  # noqa: B023
+                    at[j] = (a * u0 + b * u1 + c * u2, a * v0 + b * v1 + c * v2)  # noqa: B023
+                return at[j]  # noqa: B023
+
+            def side(p: int, q: int, r: int) -> float:
+                (px, py), (qx, qy), (rx, ry) = plane(p), plane(q), plane(r)  # noqa: B023
+                return (qx - px) * (ry - py) - (qy - py) * (rx - px)
+
+            edges_near: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+
+            def lay(c: int, d: int) -> None:
+                edges_near[min(c, d), max(c, d)] = (*plane(c), *plane(d))  # noqa: B023
 
             def crossed(p: int, q: int) -> bool:
                 """Whether an edge near the point crosses the one from p to q."""
-                for c in {i, *close}:  # noqa: B023
-                    for d in joined.get(c, ()):
-                        if len({p, q, c, d}) == 4 and side(p, q, c) * side(p, q, d) < 0 and side(c, d, p) * side(c, d, q) < 0:  # noqa: B023
+                if not edges_near:  # noqa: B023
+                    for c in {i, *close}:  # noqa: B023
+                        for d in joined.get(c, ()):
+                            lay(c, d)  # noqa: B023
+                (px, py), (qx, qy) = plane(p), plane(q)  # noqa: B023
+                wx, wy = qx - px, qy - py
+                for (c, d), (cx, cy, dx, dy) in edges_near.items():  # noqa: B023
+                    if (wx * (cy - py) - wy * (cx - px)) * (wx * (dy - py) - wy * (dx - px)) < 0 and c != p and c != q and d != p and d != q:
+                        ex, ey = dx - cx, dy - cy
+                        if (ex * (py - cy) - ey * (px - cx)) * (ex * (qy - cy) - ey * (qx - cx)) < 0:
                             return True
                 return False
 
@@ -199,18 +267,23 @@ def greedyprojection(df: DataFrame, radius: float, multiplier: float = 2.5, num_
                 there = opposite.get((min(p, q), max(p, q)), [])
                 return not crossed(p, q) if not there else len(there) == 1 and side(p, q, there[0]) * side(p, q, r) < 0  # noqa: B023
 
-            ring = sorted(close, key=lambda j: math.atan2((xyz[j] - xyz[i]) @ v, (xyz[j] - xyz[i]) @ u))
+            ring = sorted(close, key=lambda j: math.atan2(plane(j)[1], plane(j)[0]))  # noqa: B023
             for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
-                p, q = xyz[a] - xyz[i], xyz[b] - xyz[i]
-                turn = math.atan2(np.cross(p, q) @ nor[i], p @ q)
+                p0, p1, p2 = points[a][0] - x, points[a][1] - y, points[a][2] - z
+                q0, q1, q2 = points[b][0] - x, points[b][1] - y, points[b][2] - z
+                turn = math.atan2((p1 * q2 - p2 * q1) * n0 + (p2 * q0 - p0 * q2) * n1 + (p0 * q1 - p1 * q0) * n2, p0 * q0 + p1 * q1 + p2 * q2)
+                if not min_angle <= turn <= max_angle:
+                    continue
                 key = tuple(sorted((i, a, b)))
                 edges = ((i, a, b), (a, b, i), (b, i, a))
-                if min_angle <= turn <= max_angle and key not in have and all(free(*e) for e in edges):
+                if key not in have and all(free(*e) for e in edges):
                     have.add(key)
-                    for x, y, z in edges:
-                        opposite.setdefault((min(x, y), max(x, y)), []).append(z)
-                        joined.setdefault(x, set()).add(y)
-                        joined.setdefault(y, set()).add(x)
+                    for c, d, e in edges:
+                        opposite.setdefault((min(c, d), max(c, d)), []).append(e)
+                        joined.setdefault(c, set()).add(d)
+                        joined.setdefault(d, set()).add(c)
+                        if edges_near:
+                            lay(c, d)
                     out.append((i, a, b))
         return out
 

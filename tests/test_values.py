@@ -385,3 +385,22 @@ def test_m3c2_among_many_neighbours(spark):
             held.append(t[(abs(t) <= 0.5) & (d2 - t * t <= 0.0625)])
         assert (got[i].m3c2_count1, got[i].m3c2_count2) == (len(held[0]), len(held[1]))
         assert got[i].m3c2_distance == pytest.approx(held[1].mean() - held[0].mean(), abs=1e-9)
+
+
+def test_greedy_projection_of_many_points(cloud):
+    """Neighbours are those of all distances, ties and copies included, and 4,000 points take less time than checks of every pair."""
+    import time
+
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(size=(400, 3)), rng.integers(0, 4, (200, 3)).astype(float)])
+    for radius, k in ((0.7, 12), (9.0, 3), (0.01, 5)):
+        near = mesh._nearest(p, radius, k)
+        for i in range(len(p)):
+            d = np.linalg.norm(p - p[i], axis=1)
+            assert [j for j, _ in near[i]] == [j for j in np.argsort(d, kind="stable")[1 : k + 1] if 0 < d[j] <= radius]
+    flat = cloud([(x, y, 0, 0, 0, 1) for x, y in rng.uniform(0, 60, (4_000, 2))], "X", "Y", "Z", "NormalX", "NormalY", "NormalZ")
+    began = time.time()
+    tri = mesh.greedyprojection(flat, 3.0, 3.0, 12).collect()
+    assert time.time() - began < 40
+    sides = [tuple(sorted(e)) for t in tri for e in ((t.a, t.b), (t.b, t.c), (t.c, t.a))]
+    assert len(tri) > 3_000 and max(sides.count(e) for e in set(sides[:300])) <= 2
